@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cribra.llm import history, pieces, splits, standing_lines, truncation
 from cribra.llm import news as news_ops
 from cribra.tables import table
 
@@ -18,14 +19,73 @@ def news(spark: SparkSession, d: str, *columns: str) -> DataFrame:
     return t.select(*columns) if columns else t
 
 
+def documents(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents")
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return history.repeats(table(spark, d, "scraped_urls").select("scrape_id", "url", "content_hash", "scraped_at"))
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return standing_lines.standing_lines(news(spark, d, "article_id", "source", "text")).select("article_id", "line_no")
+
+
+def p2_texts(spark: SparkSession, d: str) -> DataFrame:
+    docs = news(spark, d, "article_id", "source", "text")
+    return standing_lines.without_standing_lines(docs, standing_lines.standing_lines(docs)).select("article_id", "text")
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return news_ops.no_prose(news(spark, d, "article_id", "text", "url", "source"))
 
 
+def p3_stats(spark: SparkSession, d: str) -> DataFrame:
+    from cribra.llm.quality import STATS, with_stats
+
+    df = with_stats(news(spark, d, "article_id", "text"), "text")
+    return df.select("article_id", *[F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes if c in STATS])
+
+
+def _author_nodes(spark: SparkSession, d: str) -> DataFrame:
+    return splits.record_nodes(news(spark, d, "article_id", "source", "authors"), splits.outlet_keys(table(spark, d, "sources")))
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return splits.linked_sources(_author_nodes(spark, d))
+
+
+def p4_splits(spark: SparkSession, d: str) -> DataFrame:
+    return splits.ComponentTable(spark).run(_author_nodes(spark, d))
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    """Articles of more than one piece: those above the limit."""
+    return pieces.pieces(news(spark, d, "article_id", "text")).where("piece = 1").select("article_id")
+
+
+def p6_pieces(spark: SparkSession, d: str) -> DataFrame:
+    return pieces.pieces(news(spark, d, "article_id", "text"))
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return news_ops.wrapper_lines(news(spark, d, "article_id", "text", "url", "source"))
 
 
+def p7_bodies(spark: SparkSession, d: str) -> DataFrame:
+    t = news(spark, d, "article_id", "text", "url", "source")
+    return news_ops.judged(t).select("article_id", "no_prose", "body")
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return truncation.truncated(documents(spark, d)).where("cut").select("doc_id")
+
+
+def p10_shares(spark: SparkSession, d: str) -> DataFrame:
+    docs = documents(spark, d)
+    return truncation.truncated_share(docs, truncation.truncated(docs))
+
+
 def queries() -> dict[str, Query]:
     return {k: v for k, v in globals().items() if k[0] == "p" and k[1].isdigit()}
 
