@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cribra.llm import history, pieces, splits, standing_lines, truncation
+from cribra.llm import history, overlap, pieces, splits, standing_lines, truncation
 from cribra.llm import news as news_ops
 from cribra.tables import table
 
@@ -59,6 +59,20 @@ def p4_splits(spark: SparkSession, d: str) -> DataFrame:
     return splits.ComponentTable(spark).run(_author_nodes(spark, d))
 
 
+def _overlaps(spark: SparkSession, d: str) -> DataFrame:
+    t = news(spark, d, "article_id", "text", "url", "source")
+    bodies = news_ops.judged(t).where("NOT no_prose").select("article_id", "body")
+    return overlap.overlaps(bodies, t.select("article_id", "url"), table(spark, d, "split_manifest").select("article_id", "split"))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return _overlaps(spark, d)
+
+
+def p5_report(spark: SparkSession, d: str) -> DataFrame:
+    return overlap.report(_overlaps(spark, d), news(spark, d, "article_id", "source"), table(spark, d, "split_manifest"))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     """Articles of more than one piece: those above the limit."""
     return pieces.pieces(news(spark, d, "article_id", "text")).where("piece = 1").select("article_id")
