@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cribra.llm import history, overlap, pieces, splits, standing_lines, truncation
+from cribra.llm import history, mixing, overlap, packing, pieces, splits, standing_lines, truncation
 from cribra.llm import news as news_ops
 from cribra.tables import table
 
@@ -91,6 +91,19 @@ def p7_bodies(spark: SparkSession, d: str) -> DataFrame:
     return news_ops.judged(t).select("article_id", "no_prose", "body")
 
 
+def p8_containers(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack(documents(spark, d).select("doc_id", "text"))
+
+
+def p9_mix(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mix(documents(spark, d).select("doc_id", "source", "text"), table(spark, d, "mix_targets"))
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    targets = table(spark, d, "mix_targets")
+    return mixing.shares(mixing.mix(documents(spark, d).select("doc_id", "source", "text"), targets), targets)
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return truncation.truncated(documents(spark, d)).where("cut").select("doc_id")
 
