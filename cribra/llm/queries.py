@@ -117,5 +117,21 @@ def queries() -> dict[str, Query]:
     return {k: v for k, v in globals().items() if k[0] == "p" and k[1].isdigit()}
 
 
+_LINES = r"""lines AS (SELECT article_id, source, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS line_no FROM labeled_news WHERE source IS NOT NULL),
+forms AS (SELECT article_id, source, CAST(line_no AS INTEGER) AS line_no, regexp_replace(lower(line), '[^\p{L}]+', '', 'g') AS form FROM lines),
+standing AS (SELECT source, form FROM forms WHERE form <> '' GROUP BY source, form HAVING count(DISTINCT article_id) >= greatest(5, 0.03 * (SELECT count(*) FROM labeled_news n WHERE n.source = forms.source)) - 1e-9)"""
+_TOKS = r"list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{M}\p{N}]+'), lambda w: w <> '')"
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from cribra.llm.quality import COMMON
+
+    common = ", ".join(f"'{w}'" for w in COMMON)
+    return {
+        "p2_found": f"WITH {_LINES} SELECT article_id, line_no FROM forms JOIN standing USING (source, form)",
+        "p3_stats": rf"""WITH a AS (SELECT article_id, {_TOKS} AS t, list_filter(string_split(text, chr(10)), lambda l: regexp_matches(l, '[^ \t\n\x{{0b}}\f\r]')) AS ls, length(regexp_replace(text, '[ \t\n\x{{0b}}\f\r]+', '', 'g')) AS solid FROM labeled_news),
+b AS (SELECT *, len(t) AS w, len(ls) AS n, length(array_to_string(t, '')) AS an, length(regexp_replace(array_to_string(t, ''), '[^0-9]+', '', 'g')) AS dg, len(list_filter(ls, lambda l: regexp_matches(l, '[.!?…:][ \t\n\x{{0b}}\f\r»”"'')\]]*$'))) AS e, len(list_filter(t, lambda x: x IN ({common}))) AS c, len(list_distinct(t)) AS u FROM a)
+SELECT article_id, CAST(w AS INTEGER) AS words, CAST(n AS INTEGER) AS lines, round(CASE WHEN w > 0 THEN an / w ELSE 0 END, 6) AS mean_word_len, round(CASE WHEN solid > 0 THEN 1 - least(an, solid) / solid ELSE 0 END, 6) AS symbol_ratio, round(CASE WHEN n > 0 THEN e / n ELSE 0 END, 6) AS end_punct_share,
+round(CASE WHEN w > 0 THEN c / w ELSE 0 END, 6) AS common_share, round(CASE WHEN n > 0 THEN w / n ELSE 0 END, 6) AS words_per_line, round(CASE WHEN an > 0 THEN dg / an ELSE 0 END, 6) AS digit_share, round(CASE WHEN w > 0 THEN u / w ELSE 0 END, 6) AS distinct_share FROM b""",
+        "p6_found": "SELECT article_id FROM labeled_news WHERE length(text) > 3000",
+    }
