@@ -567,3 +567,62 @@ def radar_polygon(s, d):
 @query(f"SELECT round(lo - (hi - lo) * 0.1, 6) AS low, round(hi + (hi - lo) * 0.1, 6) AS high FROM (SELECT least(min(r2_mean), 0.0) AS lo, greatest(max(r2_mean), 1.0) AS hi FROM {_AXES})")
 def radar_limits(s, d):
     return evaluation.chart_limits(evaluation.axis_summary(_values(s)), "r2_mean")
+
+
+# ---- pages, streams, models ----------------------------------------------------------------------------------------
+
+_SPACES = r"[\s\p{Z}\x{0b}\x{85}\x{1c}-\x{1f}]+"
+
+
+@query(rf"""SELECT doc_id, coalesce(trim(regexp_replace(title, '{_SPACES}', ' ', 'g'), ' '), '') AS title, array_to_string(list_filter(list_transform(string_split(replace(text, chr(13), chr(10)), chr(10)), lambda l: trim(regexp_replace(l, '{_SPACES}', ' ', 'g'), ' ')), lambda l: l <> ''), chr(10)) AS text FROM documents WHERE text IS NOT NULL""")
+def html_extract(s, d):
+    """Documents as pages with navigation and scripts around, and back."""
+    from cribra.sources import html
+
+    t = table(s, d, "documents").where("text IS NOT NULL").select("doc_id", "title", "text").repartition(s.sparkContext.defaultParallelism)
+    esc = lambda c: F.regexp_replace(F.regexp_replace(F.regexp_replace(c, "&", "&amp;"), "<", "&lt;"), ">", "&gt;")
+    page = F.concat(F.lit("<html><head><title>"), esc(F.coalesce("title", F.lit(""))), F.lit("</title><script>var a = '<p>';</script></head><body><nav><a href='/x'>Inicio</a></nav><article><p>"), F.array_join(F.split(esc(F.col("text")), "\n"), "<p>"), F.lit("</article><footer>Pie</footer></body></html>"))
+    return html.extract_pages(t.select(F.col("doc_id").cast("string").alias("url"), page.alias("html"))).select(F.col("url").cast("bigint").alias("doc_id"), "title", "text")
+
+
+@query(f"{CLEANED} SELECT article_id, clean FROM cleaned WHERE length(clean) >= 300")
+def stream_incremental_clean(s, d):
+    """The table as a stream: one run over what is there, a second that adds nothing."""
+    from cribra.streaming import incremental
+    from cribra.tables import scratch_path
+
+    schema = table(s, d, "labeled_news").schema
+    out, check = scratch_path(s, "stream-out"), scratch_path(s, "stream-check")
+    for _ in range(2):
+        st = incremental.source(s, f"{d}/labeled_news.parquet", schema, "parquet")
+        st = text.barrier(st, "clean", text.clean_article(F.col("text"), F.col("authors"))).where(F.length("clean") >= 300).select("article_id", "clean")
+        incremental.append_once(st, out, check)
+    return s.read.schema("article_id long, clean string").parquet(out)
+
+
+@query(SQL["ledger_first_wins"])
+def stream_dedup(s, d):
+    """The table as a stream into a persisted ledger."""
+    from cribra.streaming import incremental
+    from cribra.tables import scratch_path
+
+    out, led, check = (scratch_path(s, f"stream-{k}") for k in ("rows", "ledger", "check"))
+    st = incremental.source(s, f"{d}/scraped_urls.parquet", table(s, d, "scraped_urls").schema, "parquet").select("scrape_id", "url", "content_hash")
+    incremental.ledger_batches(st, led, check, lambda df, n: df.write.mode("overwrite").parquet(f"{out}/batch={n}"), ["scrape_id"])
+    return s.read.parquet(out).select("scrape_id", "url", "content_hash")
+
+
+@query()
+def ml_multi_axis_fit(s, d):
+    """Eight regressors on hashed words, fitted on train, measured on test."""
+    from pyspark.ml.feature import HashingTF
+
+    from cribra.plans import models
+
+    t = scores.political(news(s, d, "article_id", "is_political", "text", *AXES)).join(table(s, d, "split_manifest").select("article_id", "split"), "article_id")
+    t = t.withColumn("w", F.filter(F.split(F.lower("text"), r"[^\p{L}]+"), lambda w: F.length(w) > 4))
+    f = HashingTF(inputCol="w", outputCol="features", numFeatures=256).transform(t).select("split", "features", *AXES)
+    f = materialize(f, "features")
+    pred = models.predict(models.fit(f.where("split = 'train'"), reg=0.1), f.where("split = 'test'"))
+    long = pred.select(F.explode(F.array(*[F.struct(F.lit(a).alias("axis"), F.col(a).cast("double").alias("y"), F.col(f"p_{a}").alias("p")) for a in AXES])).alias("x")).select("x.*")
+    return evaluation.regression_metrics(long, ["axis"], "y", "p")
