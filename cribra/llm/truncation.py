@@ -12,11 +12,13 @@ most ends stays; for the others the shorter contexts speak.
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cribra.tables import broadcast_if_small, materialize
@@ -26,7 +28,7 @@ BINS = 1 << 22  # by the shift in _hashes
 #: Pseudo-counts that the shorter context's estimate weighs.
 PRIOR = 60.0
 #: Characters joined before they are counted at once.
-CHUNK = 4 << 20
+CHUNK = 1 << 18
 #: A language needs so many distinct texts for a threshold of its own.
 MIN_TEXTS = 1000
 #: Log10 odds between which thresholds may lie, and the one used before any language has enough texts.
@@ -36,17 +38,107 @@ LOW, HIGH, DEFAULT = -3.4, -2.6, -3.0
 MARKS = r"(?:\.\.\.|…|\[\s*(?:\.\.\.|…)?\s*\]?|�|&(?:#?\w{0,8})|\\u?[0-9a-fA-F]{0,4}|\\|</?\w*(?:\s[^<>]*)?|%[0-9A-Fa-f]?|[(\[{«“¿¡])\s*$"
 
 
-def normal_form(text: Column) -> Column:
-    """Names as A, numbers as 9, links as U, addresses as E, tags as #, the list on a line of its own behind a label as L; one blank or line break between words; no blanks at the end."""
-    t = F.regexp_replace(text, r"(?m)^(\p{Lu}\p{L}+:) [^\n.!?,]+,[^\n.!?]*$", "$1 L")
-    t = F.regexp_replace(t, r"https?://\S+", "U")
-    t = F.regexp_replace(t, r"(?<!\S)[^\s@]++@\S+", "E")
-    t = F.regexp_replace(t, r"#[\p{L}\p{N}_]+", "#")
-    t = F.regexp_replace(t, r"(?<![\p{L}\d_])[\p{L}_]*+\d(?:[\p{L}\d_]|[.,](?=\d))*+", "9")
-    t = F.regexp_replace(t, r"\p{Lu}[\p{L}\p{M}]*+", "A")
-    t = F.regexp_replace(t, r"[^\S\n]*+\n\s*+", "\n")
-    t = F.regexp_replace(t, r"[^\S\n]{2,}+|[^\S\n ]", " ")
-    return F.regexp_replace(t, r"(?<!\s)\s++\z", "")
+_PAD = "\0" * ORDERS[-1]
+_SPACE, _BREAK, _LETTER, _UPPER, _DIGIT, _OTHER = 1, 2, 3, 4, 5, 6
+
+
+@lru_cache(maxsize=1)
+def _classes() -> np.ndarray:
+    """Class of every code point of the basic plane; the others count as _OTHER."""
+    t = np.full(1 << 16, _OTHER, np.uint8)
+    for i in range(1 << 16):
+        c = chr(i)
+        if c.isspace():
+            t[i] = _SPACE
+        elif c.isupper() or c.istitle():
+            t[i] = _UPPER
+        elif c.isalpha() or c == "_" or unicodedata.combining(c):
+            t[i] = _LETTER
+        elif c.isdigit():
+            t[i] = _DIGIT
+    t[0], t[10] = 0, _BREAK
+    return t
+
+
+def _runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where runs of True start, and the places behind them."""
+    turn = np.flatnonzero(mask[1:] != mask[:-1]) + 1
+    if len(mask) and mask[0]:
+        turn = np.concatenate(([0], turn))
+    if len(turn) % 2:
+        turn = np.concatenate((turn, [len(mask)]))
+    return turn[::2], turn[1::2]
+
+
+def _within(n: int, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Places inside the runs."""
+    d = np.zeros(n + 1, np.int8)
+    d[starts] = 1
+    d[ends] -= 1
+    return np.cumsum(d[:-1], dtype=np.int8).view(bool)
+
+
+def _any(mask: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Whether mask holds anywhere between a start and the next."""
+    return np.logical_or.reduceat(mask, starts) if len(starts) else np.zeros(0, bool)
+
+
+def _shorten(codes: np.ndarray, keep: np.ndarray, starts: np.ndarray, ends: np.ndarray, sign: np.ndarray) -> None:
+    """Of the runs with a sign keep the first place alone, as that sign."""
+    chosen = sign > 0
+    at = starts[chosen]
+    keep &= ~_within(len(codes), at, ends[chosen])
+    keep[at] = True
+    codes[at] = sign[chosen]
+
+
+def normal_codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of the texts in normal form, each between pads, and the place of each one's last (of its pad if blank).
+
+    Normal form: capitalised words as A, words with digits as 9, tokens with :// as U, with @ as E, with # before as #,
+    one blank or line break between tokens, none at either end, and on a line of the form ``A: ..., ...`` without a
+    sentence end, L for what stands behind the label.
+    """
+    codes = np.frombuffer((_PAD + _PAD.join(texts) + _PAD).encode("utf-32-le", "surrogatepass"), np.uint32).copy()
+    kind = _classes()[np.minimum(codes, (1 << 16) - 1)]
+    point = (codes == 46) | (codes == 44)
+    digit = kind == _DIGIT
+    kind[1:-1][point[1:-1] & digit[:-2] & digit[2:]] = _DIGIT
+    keep = np.ones(len(codes), bool)
+    solid = kind >= _LETTER
+    starts, ends = _runs(solid)
+    colon = np.flatnonzero(codes[:-2] == 58)
+    link = np.zeros(len(codes), bool)
+    link[colon[(codes[colon + 1] == 47) & (codes[colon + 2] == 47)]] = True
+    sign = np.select([_any(link, starts), codes[starts] == 35, _any(codes == 64, starts)], [85, 35, 69], 0).astype(np.uint32)
+    word = solid & (kind != _OTHER)
+    if sign.any():
+        word &= ~_within(len(codes), starts[sign > 0], ends[sign > 0])
+        _shorten(codes, keep, starts, ends, sign)
+    starts, ends = _runs(word)
+    _shorten(codes, keep, starts, ends, np.where(_any(word & (kind == _DIGIT), starts), 57, np.where(kind[starts] == _UPPER, 65, 0)).astype(np.uint32))
+    starts, ends = _runs((kind == _SPACE) | (kind == _BREAK))
+    _shorten(codes, keep, starts, ends, np.where(_any(kind == _BREAK, starts), 10, 32).astype(np.uint32))
+    keep[starts[(kind[starts - 1] == 0) | (kind[ends] == 0)]] = False  # beside a pad
+    codes = codes[keep]
+    starts, ends = _runs((codes != 10) & (codes != 0))
+    s = starts  # a pad follows each line, so three places on is within
+    label = (codes[s] == 65) & (codes[s + 1] == 58) & (codes[s + 2] == 32) if len(s) else np.zeros(0, bool)
+    if label.any():
+        label &= _any(codes == 44, starts) & ~_any((codes == 46) | (codes == 33) | (codes == 63), starts)
+        gone = _within(len(codes), starts[label], ends[label])
+        for k in range(4):
+            gone[starts[label] + k] = False
+        codes[starts[label] + 3] = 76
+        codes = codes[~gone]
+    pad = _runs(codes == 0)[0]
+    return codes, pad[1:] - 1 if len(pad) == len(texts) + 1 else _ends_with_blanks(codes, len(texts))
+
+
+def _ends_with_blanks(codes: np.ndarray, n: int) -> np.ndarray:
+    """Ends where some texts are blank: their pads run together, each pad being len(_PAD) places."""
+    zero = np.concatenate(([0], np.cumsum(codes == 0)))
+    return np.searchsorted(zero, (np.arange(1, n + 1)) * len(_PAD) + 1, "left") - 2
 
 
 def _hashes(codes: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -66,22 +158,14 @@ def _hashes(codes: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
     return out
 
 
-_PAD = "\0" * ORDERS[-1]
-
-
-def _codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Code points of the texts, each behind a pad, and the position of each one's last."""
-    joined = _PAD + _PAD.join(texts)
-    ends = np.cumsum([len(t) + len(_PAD) for t in texts]) - 1
-    return np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32), ends
-
-
 def final_contexts(docs: DataFrame) -> DataFrame:
     """docs(doc_id, text, ...) -> (doc_id, language, same, b2, f2, ... b16, f16): bin and fingerprint of each text's final context."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            codes, ends = _codes(list(pdf["tail"]))
+            if not len(pdf):
+                continue
+            codes, ends = normal_codes(list(pdf["tail"]))
             at = {}
             for k, (b, f) in zip(ORDERS, _hashes(codes)):
                 at |= {f"b{k}": b[ends], f"f{k}": f[ends]}
@@ -89,9 +173,8 @@ def final_contexts(docs: DataFrame) -> DataFrame:
 
     language = F.lower(F.regexp_extract(F.coalesce("lang", F.lit("")), r"^[A-Za-z]{2}(?=$|[-_])", 0))
     solid = F.expr("trim(TRAILING ' \n\r\t' || char(160) FROM text)")
-    tail = normal_form(F.right(solid, F.lit(600)))
-    rows = docs.where("text IS NOT NULL").select("doc_id", F.when(language != "", language).otherwise("und").alias("language"), F.xxhash64(solid).alias("same"), tail.alias("tail"))
-    return rows.where("tail <> ''").mapInPandas(run, "doc_id long, language string, same long, " + ", ".join(f"b{k} int, f{k} int" for k in ORDERS))
+    rows = docs.where("text IS NOT NULL").select("doc_id", F.when(language != "", language).otherwise("und").alias("language"), F.xxhash64(solid).alias("same"), F.right(solid, F.lit(600)).alias("tail"))
+    return rows.where(r"tail RLIKE '\\S'").mapInPandas(run, "doc_id long, language string, same long, " + ", ".join(f"b{k} int, f{k} int" for k in ORDERS))
 
 
 def _continued(texts: DataFrame, kept) -> DataFrame:
@@ -107,7 +190,7 @@ def _continued(texts: DataFrame, kept) -> DataFrame:
 
         def count():
             nonlocal total, held, size
-            codes, ends = _codes(held)
+            codes, ends = normal_codes(held)
             go = codes != 0
             go[ends] = False
             total += int(go.sum())
@@ -118,7 +201,7 @@ def _continued(texts: DataFrame, kept) -> DataFrame:
             held, size = [], 0
 
         for pdf in batches:
-            for t in pdf["form"]:
+            for t in pdf["text"]:
                 held.append(t)
                 size += len(t)
                 if size >= CHUNK:
@@ -147,7 +230,7 @@ def end_odds(docs: DataFrame) -> DataFrame:
     for r in ends.select("k", "bin", "fp").toLocalIterator():
         got[r["k"]].append((r["bin"], r["fp"]))
     kept = {k: tuple(np.array(sorted(v), np.int64).reshape(-1, 2).T.astype(np.int32)) for k, v in got.items()}
-    inside = _continued(docs.where("text IS NOT NULL").select(normal_form(F.col("text")).alias("form")).where("form <> ''"), spark.sparkContext.broadcast(kept))
+    inside = _continued(docs.where("text IS NOT NULL").select("text"), spark.sparkContext.broadcast(kept))
     model = materialize(ends.join(inside, ["k", "bin"], "full"), "end-model")
     positions = (model.where("k = 0").first() or {"inside": 0})["inside"] or 1
     texts = tails.select("same").distinct().count() or 1
