@@ -31,8 +31,9 @@ PRIOR = 60.0
 CHUNK = 1 << 18
 #: A language needs so many distinct texts for a threshold of its own.
 MIN_TEXTS = 1000
-#: Log10 odds between which thresholds may lie, and the one used before any language has enough texts.
-LOW, HIGH, DEFAULT = -3.4, -2.6, -3.0
+#: Log10 odds between which thresholds may lie, and the one used before any language has enough texts. At 0 a context is
+#: an end as often as any position is.
+LOW, HIGH, DEFAULT = -0.3, 0.5, 0.1
 
 #: Marks that stand where the rest was lost: omission marks, damaged signs, entities, escapes and tags.
 MARKS = r"(?:\.\.\.|…|\[\s*(?:\.\.\.|…)?\s*\]?|�|&(?:#?\w{0,8})|\\u?[0-9a-fA-F]{0,4}|\\|</?\w*(?:\s[^<>]*)?|%[0-9A-Fa-f]?|[(\[{«“¿¡])\s*$"
@@ -217,7 +218,7 @@ def _continued(texts: DataFrame, kept) -> DataFrame:
 
 
 def end_odds(docs: DataFrame) -> DataFrame:
-    """docs(doc_id, text, lang) -> (doc_id, language, same, odds): log10 of P(end | final context).
+    """docs(doc_id, text, lang) -> (doc_id, language, same, odds): log10 of P(end | final context) / P(end).
 
     Null, empty and blank texts have no end and no row.
     """
@@ -236,13 +237,14 @@ def end_odds(docs: DataFrame) -> DataFrame:
     texts = tails.select("same").distinct().count() or 1
     model = model.where("k > 0").select("k", "bin", "fp", F.coalesce("ends", F.lit(0)).alias("ends"), F.coalesce("inside", F.lit(0)).alias("inside"))
     df = tails
-    p = F.lit(texts / (positions + texts))
+    base = texts / (positions + texts)
+    p = F.lit(base)
     for k in ORDERS:
         m = broadcast_if_small(model.where(f"k = {k}")).select(F.col("bin").cast("int").alias(f"b{k}"), F.col("fp").alias(f"f{k}"), F.col("ends").alias(f"e{k}"), F.col("inside").alias(f"i{k}"))
         df = df.join(m, [f"b{k}", f"f{k}"], "left")
         e, i = F.greatest(F.coalesce(f"e{k}", F.lit(1)) - 1, F.lit(0)), F.coalesce(f"i{k}", F.lit(0))
         p = (e + PRIOR * p) / (e + i + PRIOR)
-    return df.select("doc_id", "language", "same", F.log10(p).alias("odds"))
+    return df.select("doc_id", "language", "same", F.log10(p / base).alias("odds"))
 
 
 def thresholds(odds: DataFrame) -> DataFrame:
