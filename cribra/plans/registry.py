@@ -421,8 +421,8 @@ def split_assign(s, d):
 @query("SELECT split, CAST(count(*) AS BIGINT) AS n, round(100.0 * count(*) / (SELECT count(*) FROM split_manifest), 4) AS percent FROM split_manifest GROUP BY split")
 def split_sizes(s, d):
     m = table(s, d, "split_manifest")
-    total = m.agg(F.count("*").alias("t"))
-    return m.groupBy("split").agg(F.count("*").alias("n")).crossJoin(F.broadcast(total)).select("split", "n", F.round(F.lit(100.0) * F.col("n") / F.col("t"), 4).alias("percent"))  # t is one row
+    total = m.count()
+    return m.groupBy("split").agg(F.count("*").alias("n")).select("split", "n", F.round(F.lit(100.0) * F.col("n") / F.lit(total), 4).alias("percent"))
 
 
 _TOKENS = "(SELECT article_id, list_filter(string_split(regexp_replace(text, '[\\s\\p{Z}]+', ' ', 'g'), ' '), lambda w: w <> '') AS tok FROM labeled_news)"

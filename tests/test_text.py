@@ -37,7 +37,10 @@ def test_step(spark, step, given, want):
     from cribra.functions.patterns import AFTER_AUTHORS
 
     st = [s for s in (*STEPS, *AFTER_AUTHORS) if s[0] == step]
-    assert spark.createDataFrame([(given,)], "t string").select(text.apply_steps(F.col("t"), st)).first()[0].replace("\n\n\n", "\n\n").replace("a\n\nb", "a\n\nb") in (want, want.replace("a\nb", "a\n\nb"))
+    got = spark.createDataFrame([(given,)], "t string").select(text.apply_steps(F.col("t"), st)).first()[0]
+    assert re.sub(r"\n+", "\n", got) == re.sub(r"\n+", "\n", want)  # blank lines are the business of C15
+    if step in ("C15", "C6", "C0"):
+        assert got == want
 
 
 def test_chain_is_what_re_gives(spark):
