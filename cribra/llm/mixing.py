@@ -78,6 +78,6 @@ def mix(docs: DataFrame, targets: DataFrame, total: float | None = None, block:
 def shares(mixed: DataFrame, targets: DataFrame) -> DataFrame:
     """(source, target_share, documents, tokens, share): what each source of the targets reached; 0 for one without documents."""
     by = mixed.groupBy("source").agg(F.countDistinct("doc_id").alias("documents"), F.sum("tokens").alias("tokens"))
-    total = by.agg(F.sum("tokens").alias("__all"))
-    j = targets.select("source", "target_share").join(by, "source", "left").crossJoin(F.broadcast(total))  # one row
-    return j.select("source", "target_share", F.coalesce("documents", F.lit(0)).alias("documents"), F.coalesce("tokens", F.lit(0)).alias("tokens"), F.coalesce(F.col("tokens") / F.col("__all"), F.lit(0.0)).alias("share"))
+    total = by.agg(F.sum("tokens")).first()[0] or 1
+    j = targets.select("source", "target_share").join(by, "source", "left")
+    return j.select("source", "target_share", F.coalesce("documents", F.lit(0)).alias("documents"), F.coalesce("tokens", F.lit(0)).alias("tokens"), F.coalesce(F.col("tokens") / F.lit(total), F.lit(0.0)).alias("share"))
