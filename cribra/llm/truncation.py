@@ -5,9 +5,9 @@ text against how often the text goes on behind it. The orders are interpolated f
 text's own end is left out of the counts, and equal texts count once. A complete text ends in a context in which texts
 do end; a cut one in a context that is nearly always continued.
 
-Counts are kept in a table of fixed size (orders x BINS), so the model doesn't grow with the corpus: ends first, then,
-in one pass over all texts, the continuations of exactly those contexts. Of contexts that fall into one bin the one of
-most ends stays; for the others the shorter contexts speak.
+Contexts are counted by 64-bit hashes, each with its own counts: ends first, then, in one pass over all texts, the
+continuations of those contexts. A bitmap of the final contexts' hashes, of bounded size, goes to the executors and keeps
+most other positions out of the shuffle; what it lets pass in error is dropped by the join with the ends.
 """
 
 from __future__ import annotations
@@ -24,7 +24,12 @@ from pyspark.sql import functions as F
 from cribra.tables import broadcast_if_small, materialize
 
 ORDERS = (2, 4, 8, 16)
-BINS = 1 << 22  # by the shift in _hashes
+#: Bits of the bitmap a final context, and its least and largest number of bits in all, as powers of two.
+BITS_EACH, LEAST_BITS, MOST_BITS = 16, 20, 27
+#: Power of two of the bits in a segment of the bitmap.
+SEGMENT = 20
+#: Contexts that a task holds before it adds them up.
+HELD = 1 << 21
 #: Pseudo-counts that the shorter context's estimate weighs.
 PRIOR = 60.0
 #: Characters joined before they are counted at once.
@@ -142,8 +147,8 @@ def _ends_with_blanks(codes: np.ndarray, n: int) -> np.ndarray:
     return np.searchsorted(zero, (np.arange(1, n + 1)) * len(_PAD) + 1, "left") - 2
 
 
-def _hashes(codes: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(bin, fingerprint above 0) of the context that ends at each position, by order."""
+def _hashes(codes: np.ndarray) -> list[np.ndarray]:
+    """Hash of the context that ends at each position, by order."""
     p, k, out = 0x9E3779B97F4A7C15, 1, []
     h = (codes.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
     while k < ORDERS[-1]:
@@ -155,66 +160,90 @@ def _hashes(codes: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
         k *= 2
         if k in ORDERS:
             x = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-            out.append(((x >> np.uint64(42)).astype(np.int32), (x >> np.uint64(8)).astype(np.int32) | 1))
+            out.append((x ^ (x >> np.uint64(32))).view(np.int64))
     return out
 
 
 def final_contexts(docs: DataFrame) -> DataFrame:
-    """docs(doc_id, text, ...) -> (doc_id, language, same, b2, f2, ... b16, f16): bin and fingerprint of each text's final context."""
+    """docs(doc_id, text, ...) -> (doc_id, language, same, c2, ... c16): hash of each text's final context, by order."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             if not len(pdf):
                 continue
             codes, ends = normal_codes(list(pdf["tail"]))
-            at = {}
-            for k, (b, f) in zip(ORDERS, _hashes(codes)):
-                at |= {f"b{k}": b[ends], f"f{k}": f[ends]}
+            at = {f"c{k}": h[ends] for k, h in zip(ORDERS, _hashes(codes))}
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "language": pdf["language"], "same": pdf["same"], **at})
 
     language = F.lower(F.regexp_extract(F.coalesce("lang", F.lit("")), r"^[A-Za-z]{2}(?=$|[-_])", 0))
     solid = F.expr("trim(TRAILING ' \n\r\t' || char(160) FROM text)")
     rows = docs.where("text IS NOT NULL").select("doc_id", F.when(language != "", language).otherwise("und").alias("language"), F.xxhash64(solid).alias("same"), F.right(solid, F.lit(600)).alias("tail"))
-    return rows.where(r"tail RLIKE '\\S'").mapInPandas(run, "doc_id long, language string, same long, " + ", ".join(f"b{k} int, f{k} int" for k in ORDERS))
+    return rows.where(r"tail RLIKE '\\S'").mapInPandas(run, "doc_id long, language string, same long, " + ", ".join(f"c{k} long" for k in ORDERS))
 
 
-def _continued(texts: DataFrame, kept) -> DataFrame:
-    """(k, bin, inside): how often each kept context is followed by something, over all positions of all texts."""
+def _bitmap(ends: DataFrame) -> tuple[int, np.ndarray]:
+    """(power of two, packed bits): a bit for each final context's hash, whatever its order."""
+    power = min(max((BITS_EACH * ends.count()).bit_length(), LEAST_BITS), MOST_BITS)
+    bit = F.col("c").bitwiseAND((1 << power) - 1)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        bits = np.zeros(1 << SEGMENT, bool)
+        bits[pdf["bit"].to_numpy() & (1 << SEGMENT) - 1] = True
+        return pd.DataFrame({"segment": pdf["bit"].to_numpy()[:1] >> SEGMENT, "packed": [np.packbits(bits, bitorder="little").tobytes()]})
+
+    rows = ends.select(bit.alias("bit")).distinct().groupBy(F.shiftright("bit", SEGMENT)).applyInPandas(run, "segment long, packed binary").collect()
+    out, size = np.zeros(1 << power - 3, np.uint8), 1 << SEGMENT - 3
+    for r in rows:
+        out[r["segment"] * size : (r["segment"] + 1) * size] = np.frombuffer(r["packed"], np.uint8)
+    return power, out
+
+
+def _continued(texts: DataFrame, seen) -> DataFrame:
+    """(k, c, inside): how often a context is followed by something, over all positions of all texts, for all contexts in
+    the bitmap; at k = 0 the positions."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        table = {}
-        for k, (b, f) in kept.value.items():
-            table[k] = np.zeros(BINS, np.int32)
-            table[k][b] = f
-        sums = {k: np.zeros(len(b), np.int64) for k, (b, _) in kept.value.items()}
-        total, held, size = 0, [], 0
+        power, bits = seen.value
+        mask = (1 << power) - 1
+        found: dict[int, list[np.ndarray]] = {k: [] for k in ORDERS}
+        total, kept, held, size = 0, 0, [], 0
 
         def count():
-            nonlocal total, held, size
+            nonlocal total, kept, held, size
             codes, ends = normal_codes(held)
             go = codes != 0
             go[ends] = False
             total += int(go.sum())
-            for k, (b, f) in zip(ORDERS, _hashes(codes)):
-                sel = b[(table[k][b] == f) & go]
-                if len(sel):
-                    sums[k] += np.bincount(np.searchsorted(kept.value[k][0], sel), minlength=len(sums[k]))
+            for k, h in zip(ORDERS, _hashes(codes)):
+                h = h[go]
+                b = h & mask
+                found[k].append(h[(bits[b >> 3] >> (b & 7).astype(np.uint8) & 1).view(bool)])
+                kept += len(found[k][-1])
             held, size = [], 0
 
+        def sums() -> Iterator[pd.DataFrame]:
+            nonlocal kept
+            for k, parts in found.items():
+                if parts:
+                    c, n = np.unique(np.concatenate(parts), return_counts=True)
+                    yield pd.DataFrame({"k": np.int32(k), "c": c, "inside": n})
+                    parts.clear()
+            kept = 0
+
         for pdf in batches:
             for t in pdf["text"]:
                 held.append(t)
                 size += len(t)
                 if size >= CHUNK:
                     count()
+                    if kept >= HELD:
+                        yield from sums()
         if held:
             count()
-        for k, n in sums.items():
-            at = np.flatnonzero(n)
-            yield pd.DataFrame({"k": np.int32(k), "bin": kept.value[k][0][at].astype(np.int64), "inside": n[at]})
-        yield pd.DataFrame({"k": [0], "bin": [0], "inside": [total]})
+        yield from sums()
+        yield pd.DataFrame({"k": [0], "c": [0], "inside": [total]})
 
-    return texts.mapInPandas(run, "k int, bin long, inside long").groupBy("k", "bin").agg(F.sum("inside").alias("inside"))
+    return texts.mapInPandas(run, "k int, c long, inside long").groupBy("k", "c").agg(F.sum("inside").alias("inside"))
 
 
 def end_odds(docs: DataFrame) -> DataFrame:
@@ -224,24 +253,18 @@ def end_odds(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     tails = materialize(final_contexts(docs), "tails")
-    long = tails.select("same", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"b{k}").cast("long").alias("bin"), F.col(f"f{k}").alias("fp")) for k in ORDERS])).alias("c")).select("same", "c.*")
-    ends = long.distinct().groupBy("k", "bin", "fp").agg(F.count("*").alias("ends")).groupBy("k", "bin").agg(F.max(F.struct("ends", "fp")).alias("m")).select("k", "bin", "m.*")
-    ends = materialize(ends, "end-contexts")
-    got: dict[int, list] = {k: [] for k in ORDERS}  # at most BINS entries each
-    for r in ends.select("k", "bin", "fp").toLocalIterator():
-        got[r["k"]].append((r["bin"], r["fp"]))
-    kept = {k: tuple(np.array(sorted(v), np.int64).reshape(-1, 2).T.astype(np.int32)) for k, v in got.items()}
-    inside = _continued(docs.where("text IS NOT NULL").select("text"), spark.sparkContext.broadcast(kept))
-    model = materialize(ends.join(inside, ["k", "bin"], "full"), "end-model")
-    positions = (model.where("k = 0").first() or {"inside": 0})["inside"] or 1
+    long = tails.select("same", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"c{k}").alias("c")) for k in ORDERS])).alias("x")).select("same", "x.*")
+    ends = materialize(long.distinct().groupBy("k", "c").agg(F.count("*").alias("ends")), "end-contexts")
+    inside = materialize(_continued(docs.where("text IS NOT NULL").select("text"), spark.sparkContext.broadcast(_bitmap(ends))), "continued")
+    positions = (inside.where("k = 0").first() or {"inside": 0})["inside"] or 1
     texts = tails.select("same").distinct().count() or 1
-    model = model.where("k > 0").select("k", "bin", "fp", F.coalesce("ends", F.lit(0)).alias("ends"), F.coalesce("inside", F.lit(0)).alias("inside"))
+    model = materialize(ends.join(inside, ["k", "c"], "left").select("k", "c", "ends", F.coalesce("inside", F.lit(0)).alias("inside")), "end-model")
     df = tails
     base = texts / (positions + texts)
     p = F.lit(base)
     for k in ORDERS:
-        m = broadcast_if_small(model.where(f"k = {k}")).select(F.col("bin").cast("int").alias(f"b{k}"), F.col("fp").alias(f"f{k}"), F.col("ends").alias(f"e{k}"), F.col("inside").alias(f"i{k}"))
-        df = df.join(m, [f"b{k}", f"f{k}"], "left")
+        m = broadcast_if_small(model.where(f"k = {k}")).select(F.col("c").alias(f"c{k}"), F.col("ends").alias(f"e{k}"), F.col("inside").alias(f"i{k}"))
+        df = df.join(m, f"c{k}", "left")
         e, i = F.greatest(F.coalesce(f"e{k}", F.lit(1)) - 1, F.lit(0)), F.coalesce(f"i{k}", F.lit(0))
         p = (e + PRIOR * p) / (e + i + PRIOR)
     return df.select("doc_id", "language", "same", F.log10(p / base).alias("odds"))

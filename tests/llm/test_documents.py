@@ -1,4 +1,6 @@
+import math
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -104,3 +106,35 @@ def test_normal_form():
     assert [chr(codes[e]) for e in ends] == ["U", "\0", "L", "\0", "a", "b", "E"]
     codes, ends = truncation.normal_codes(["ab", "c"])
     assert "".join(chr(codes[e]) for e in ends) == "bc" and np.count_nonzero(codes) == 3
+
+
+def odds_by_counting(texts):
+    """The odds of each of the distinct texts, whose normal form is the text itself, counted in dictionaries."""
+    ends, inside, out = Counter(), Counter(), {}
+    for t in texts:
+        padded = truncation._PAD + t
+        for k in truncation.ORDERS:
+            ends[padded[-k:]] += 1
+            inside.update(padded[i - k + 1 : i + 1] for i in range(16, len(padded) - 1))
+    positions = sum(len(t) - 1 for t in texts)
+    base = len(texts) / (positions + len(texts))
+    for t in texts:
+        p = base
+        for k in truncation.ORDERS:
+            c = (truncation._PAD + t)[-k:]
+            e = ends[c] - 1
+            p = (e + truncation.PRIOR * p) / (e + inside[c] + truncation.PRIOR)
+        out[t] = math.log10(p / base)
+    return out
+
+
+def test_every_final_context_keeps_its_counts(spark):
+    r = random.Random(5)
+    letters = lambda n: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    tails = [letters(16) for _ in range(12000)]
+    texts = [letters(3) + t for t in tails for _ in range(2)] + [t + letters(5) for t in tails[::3]]
+    texts = sorted(set(texts))
+    want = odds_by_counting(texts)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("lang", F.lit("es"))
+    got = {texts[x["doc_id"]]: x["odds"] for x in truncation.end_odds(df).collect()}
+    assert got.keys() == want.keys() and [t for t in texts if abs(got[t] - want[t]) > 1e-9] == []
