@@ -255,9 +255,11 @@ def end_odds(docs: DataFrame) -> DataFrame:
     tails = materialize(final_contexts(docs), "tails")
     long = tails.select("same", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"c{k}").alias("c")) for k in ORDERS])).alias("x")).select("same", "x.*")
     ends = materialize(long.distinct().groupBy("k", "c").agg(F.count("*").alias("ends")), "end-contexts")
-    inside = materialize(_continued(docs.where("text IS NOT NULL").select("text"), spark.sparkContext.broadcast(_bitmap(ends))), "continued")
+    # one text of each content, as for the ends
+    first = materialize(tails.groupBy("same").agg(F.min("doc_id").alias("doc_id")).select("doc_id"), "distinct-texts")
+    inside = materialize(_continued(docs.join(broadcast_if_small(first), "doc_id", "left_semi").select("text"), spark.sparkContext.broadcast(_bitmap(ends))), "continued")
     positions = (inside.where("k = 0").first() or {"inside": 0})["inside"] or 1
-    texts = tails.select("same").distinct().count() or 1
+    texts = first.count() or 1
     model = materialize(ends.join(inside, ["k", "c"], "left").select("k", "c", "ends", F.coalesce("inside", F.lit(0)).alias("inside")), "end-model")
     df = tails
     base = texts / (positions + texts)

@@ -138,3 +138,14 @@ def test_every_final_context_keeps_its_counts(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("lang", F.lit("es"))
     got = {texts[x["doc_id"]]: x["odds"] for x in truncation.end_odds(df).collect()}
     assert got.keys() == want.keys() and [t for t in texts if abs(got[t] - want[t]) > 1e-9] == []
+
+
+def test_copies_of_a_text_count_once_everywhere(spark):
+    r = random.Random(8)
+    texts = ["".join(r.choice("abc") for _ in range(r.randrange(20, 40))) for _ in range(60)]
+    texts = sorted(set(texts))
+    want = odds_by_counting(texts)
+    rows = [(i, texts[0] if i % 3 else t) for i, t in enumerate(t for t in texts for _ in range(3))] + [(900 + i, t) for i, t in enumerate(texts)] + [(990, texts[1] + " \n")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("lang", F.lit("es"))
+    got = {x["doc_id"]: x["odds"] for x in truncation.end_odds(df).collect()}
+    assert len(got) == len(rows) and all(abs(got[i] - want[t.strip()]) < 1e-9 for i, t in rows)
