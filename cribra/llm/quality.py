@@ -8,6 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cribra.functions.text import barrier
 from cribra.llm.quality_seeds import labelled
 from cribra.llm.rulelist import induce, to_case
 
@@ -71,5 +72,6 @@ def no_prose_rule(n: int = LABELLED) -> Column:
 
 def flag_no_prose(df: DataFrame, text: str = "body") -> DataFrame:
     """Adds STATS, rule (see no_prose_rule) and no_prose. A text without a word is no prose."""
-    df = with_stats(df, text).withColumn("rule", no_prose_rule())
+    # the barrier keeps a filter on the rule from taking the tokenisation with it, once for every use of a statistic
+    df = barrier(with_stats(df, text), "rule", no_prose_rule())
     return df.withColumn("no_prose", (F.col("rule") > 0) | (F.col("words") == 0))
