@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cribra.axes import AXES
+
 
 def regression_metrics(df: DataFrame, group: list[str], truth: str, predicted: str) -> DataFrame:
     """n, mse and r2 by group, rows with a null left out; r2 is null where the truth doesn't vary."""
@@ -81,24 +83,30 @@ def axis_summary(values: DataFrame) -> DataFrame:
     return values.groupBy("encoder", "axis").agg(F.round(r, 6).alias("r2_mean"), F.round(F.when(F.count("r2") > 0, rs).otherwise(0.0), 6).alias("r2_std"), F.round(m, 6).alias("mse_mean"), F.round(F.when(F.count("mse") > 0, ms).otherwise(0.0), 6).alias("mse_std"))
 
 
+def _no_number(c: str) -> Column:
+    return F.col(c).isNull() | F.isnan(c)
+
+
 def ranks(summary: DataFrame) -> DataFrame:
     """Adds rank by r2 within each axis, ties by name; NaN and null last."""
-    w = Window.partitionBy("axis").orderBy(F.coalesce(F.isnan("r2_mean"), F.lit(True)) | F.col("r2_mean").isNull(), F.desc("r2_mean"), "encoder")
+    w = Window.partitionBy("axis").orderBy(_no_number("r2_mean"), F.desc("r2_mean"), "encoder")
     return summary.withColumn("rank", F.row_number().over(w))
 
 
 def winners(summary: DataFrame) -> DataFrame:
-    """Best encoder by axis: greatest r2 and least mse, ties by name."""
-    r = Window.partitionBy("axis").orderBy(F.col("r2_mean").isNull(), F.desc("r2_mean"), "encoder")
-    m = Window.partitionBy("axis").orderBy(F.col("mse_mean").isNull(), F.asc("mse_mean"), "encoder")
+    """Best encoder by axis: greatest r2 and least mse, ties by name; NaN and null win only where nothing else is."""
+    r = Window.partitionBy("axis").orderBy(_no_number("r2_mean"), F.desc("r2_mean"), "encoder")
+    m = Window.partitionBy("axis").orderBy(_no_number("mse_mean"), F.asc("mse_mean"), "encoder")
     d = summary.select("axis", F.first("encoder").over(r).alias("best_r2"), F.first("encoder").over(m).alias("best_mse"))
     return d.distinct()
 
 
-def mean_ranks(ranked: DataFrame) -> DataFrame:
-    """Wins, mean rank and the ranks in the order of axes; macro averages skip NaN."""
+def mean_ranks(ranked: DataFrame, axes: tuple[str, ...] = AXES) -> DataFrame:
+    """Wins, mean rank and the ranks in the order of axes, as a text list; macro averages skip NaN."""
+    place = F.array_position(F.array(*map(F.lit, axes)), F.col("axis"))
+    listed = F.transform(F.array_sort(F.collect_list(F.struct(place, "rank"))), lambda x: x["rank"].cast("string"))
     ok = lambda c: F.when(~F.isnan(c), F.col(c))
-    return ranked.groupBy("encoder").agg(F.count_if(F.col("rank") == 1).alias("wins"), F.round(F.avg("rank"), 6).alias("mean_rank"), F.round(F.avg(ok("r2_mean")), 6).alias("macro_r2"), F.round(F.avg(ok("mse_mean")), 6).alias("macro_mse"))
+    return ranked.groupBy("encoder").agg(F.count_if(F.col("rank") == 1).alias("wins"), F.round(F.avg("rank"), 6).alias("mean_rank"), F.array_join(listed, ",").alias("ranks"), F.round(F.avg(ok("r2_mean")), 6).alias("macro_r2"), F.round(F.avg(ok("mse_mean")), 6).alias("macro_mse"))
 
 
 def format_mean_std(mean: Column, std: Column, decimals: int = 3, show: Column | None = None) -> Column:

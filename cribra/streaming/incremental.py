@@ -10,6 +10,7 @@ from pyspark.sql.types import StructType
 
 from cribra.functions import text
 from cribra.operators import ledger
+from cribra.tables import path_exists
 
 
 def source(spark: SparkSession, path: str, schema: StructType, fmt: str = "json", files: int | None = None) -> DataFrame:
@@ -47,10 +48,9 @@ def ledger_batches(stream: DataFrame, ledger_path: str, checkpoint: str, sink: C
         try:
             if batch.isEmpty():
                 return
-            try:
+            known = batch.select("url", "content_hash").limit(0)
+            if path_exists(spark, ledger_path):  # any other failure to read the ledger is one
                 known = spark.read.parquet(ledger_path).where(F.col("batch") != n).select("url", "content_hash")
-            except Exception:  # noqa: BLE001 - no ledger yet
-                known = batch.select("url", "content_hash").limit(0)
             new = ledger.accept(batch, known, order).persist()
             sink(new, n)
             new.select("url", "content_hash").write.mode("overwrite").parquet(f"{ledger_path}/batch={n}")

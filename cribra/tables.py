@@ -6,8 +6,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Used only where the session names no shared folder, as in tests and on one machine.
+#: Used only on one machine where the session names no shared folder, as in tests.
 FALLBACK_DIR = "file:///tmp/cribra-shared"
+_WRITTEN: list[str] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,12 +16,44 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that every executor reaches: spark.checkpoint.dir, else a local one (tests)."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or FALLBACK_DIR).rstrip("/") + "/cribra"
+    """The folder that every executor reaches: spark.checkpoint.dir. A cluster needs it; one machine has a local one."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return (named or FALLBACK_DIR).rstrip("/") + "/cribra"
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex[:12]}"
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex[:12]}"
+    _WRITTEN.append(path)
+    return path
+
+
+def _fs(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    fs, p = _fs(spark, path)
+    return fs.exists(p)
+
+
+def list_names(spark: SparkSession, path: str) -> list[str]:
+    """Names of what lies in a folder, none if there is no such folder."""
+    fs, p = _fs(spark, path)
+    return sorted(s.getPath().getName() for s in fs.listStatus(p)) if fs.exists(p) else []
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    fs, p = _fs(spark, path)
+    fs.delete(p, True)
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Deletes the intermediate tables of this process. For callers that have written or collected their results."""
+    while _WRITTEN:
+        delete_path(spark, _WRITTEN.pop())
 
 
 def materialize(df: DataFrame, label: str, partitions: int | None = None) -> DataFrame:
@@ -46,12 +79,3 @@ def broadcast_if_small(df: DataFrame, limit_bytes: int = 16 << 20) -> DataFrame:
     from pyspark.sql import functions as F
 
     return F.broadcast(df) if table_bytes(df) <= limit_bytes else df
-
-
-def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Round-robin the rows when the scan gives fewer partitions than the cluster has cores.
-
-    A table written as one row group is otherwise one task. Row order isn't kept.
-    """
-    n = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
