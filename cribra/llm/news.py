@@ -6,13 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cribra.llm.quality import flag_no_prose
-from cribra.llm.wrappers import learn_wrappers, pages_of, split_body
+from cribra.llm.wrappers import learn_tokens, pages_of, split_body
 
 
 def bodies(news: DataFrame) -> DataFrame:
-    """news(article_id, text, url, source) -> (article_id, furniture, body). Two passes over the text."""
+    """news(article_id, text, url, source) -> (article_id, furniture, body). Two passes over the text, a third one over lines out of place."""
     pages = pages_of(news)
-    return split_body(pages, learn_wrappers(pages))
+    return split_body(pages, learn_tokens(pages))
 
 
 def judged(news: DataFrame) -> DataFrame:
