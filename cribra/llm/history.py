@@ -1,113 +1,190 @@
 """Deduplicating new batches against everything accepted before (problem 1).
 
-The store holds, for every accepted record, one row per key: kind (page or content), the minwise band key, the signature
-that settles a match, and the record's place in time. It is partitioned by a hash of the band key; a batch reads only
-the partitions that its own band keys fall into. A record's page is the set of its address' tokens, its content a set
-of one hash; equal sets have equal minwise signatures, so no equal page or content can fall outside its bucket.
+The store holds one row for every key of an accepted record: the minwise band key, the minwise signature and digest that
+settle a match, and the record's place in time. It lies in segments, one a batch, each partitioned by a hash of the band
+key into as many buckets as its size asks for. Of a segment a batch reads only the buckets that its own band keys fall
+into. Each time FAN segments of one level are there they are written into one of the next level, with more buckets, so a
+key is written again a logarithmic number of times and the files stay few.
+
+A record's page is the set of its address' tokens, its content a set of one hash. Equal sets have equal minwise values,
+so no equal page or content falls outside its bucket; signature and digest must be equal too for a match.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cribra.llm.addresses import canonical_url, content_key, instant
-from cribra.tables import materialize, scratch_path
+from cribra.operators.ledger import ONE_TASK, later_repeats
+from cribra.tables import broadcast_if_small, delete_path, list_names, materialize, path_exists, scratch_path
 
-BUCKETS = 16
+#: Minwise values in a band.
 ROWS_PER_BAND = 4
-KEYS_SCHEMA = "bucket int, band long, sign binary, at timestamp, id long"
+#: A segment's buckets are a power of two: of about so many keys each, and never more than the second figure.
+KEYS_PER_BUCKET, MOST_BUCKETS = 16_384, 4096
+#: Segments of a level that are merged into one of the next.
+FAN = 8
+KEYS = "band long, values array<long>, sign binary, at timestamp, id long"
+_SEGMENT = re.compile(r"^seg-(\d+)-(\d+)-(\d+)$")
+
 
+def signature(tokens: Column) -> Column:
+    """ROWS_PER_BAND minwise values of a set of tokens."""
+    return F.array(*[F.array_min(F.transform(tokens, lambda t, s=s: F.xxhash64(t, F.lit(s)))) for s in range(ROWS_PER_BAND)])
 
-def band_key(kind: int, tokens: Column) -> Column:
-    """Hash of the ROWS_PER_BAND minwise values of a set of tokens: one band."""
-    rows = [F.array_min(F.transform(tokens, lambda t, s=s: F.xxhash64(t, F.lit(s)))) for s in range(ROWS_PER_BAND)]
-    return F.xxhash64(F.lit(kind), *rows)
 
+def record_keys(df: DataFrame) -> DataFrame:
+    """(scrape_id, url, content_hash, scraped_at) -> (id, at, band, values, sign), a row for each key, none for a record without any.
 
-def records(df: DataFrame) -> DataFrame:
-    """(scrape_id, url, content_hash, scraped_at) -> (id, at, keys). A record whose time can't be read comes last."""
+    A record whose time can't be read comes last. Null or blank urls, and hashes that say nothing, are no keys.
+    """
     page, content = canonical_url(F.col("url")), content_key(F.col("content_hash"))
-    df = df.select(F.col("scrape_id").alias("id"), F.coalesce(instant(F.col("scraped_at")), F.lit("9999-01-01").cast("timestamp")).alias("at"), page.alias("page"), content.alias("content"))
-    key = lambda kind, c, tokens: F.when(F.col(c).isNotNull(), F.struct(band_key(kind, tokens).alias("band"), F.unhex(F.md5(F.concat(F.lit(f"{kind}:"), F.col(c)))).alias("sign")))
-    return df.select("id", "at", F.filter(F.array(key(0, "page", F.split("page", r"[/?&=-]")), key(1, "content", F.array("content"))), lambda k: k.isNotNull()).alias("keys"))
+    at = F.coalesce(instant(F.col("scraped_at")), F.lit("9999-01-01").cast("timestamp"))
+    df = df.select(F.col("scrape_id").alias("id"), at.alias("at"), F.explode(F.array(F.struct(F.lit(0).alias("kind"), page.alias("key")), F.struct(F.lit(1).alias("kind"), content.alias("key")))).alias("k")).where("k.key IS NOT NULL")
+    tokens = F.when(F.col("k.kind") == 0, F.split("k.key", r"[/?&=-]")).otherwise(F.array("k.key"))
+    df = df.select("id", "at", "k.kind", F.explode(F.array(signature(tokens))).alias("values"), F.unhex(F.md5(F.concat_ws(":", "k.kind", "k.key"))).alias("sign"))
+    return df.select("id", "at", F.xxhash64("kind", "values").alias("band"), "values", "sign")
 
 
 class History:
-    """Accepted records' keys under a path of the shared folder."""
+    """Accepted records' keys under a path of the shared folder. All state is there: a new object goes on where another ended."""
 
     def __init__(self, spark: SparkSession, path: str | None = None):
         self.spark, self.path = spark, path or scratch_path(spark, "history")
-        self.used = False
-
-    def probe(self, keys: DataFrame) -> DataFrame:
-        """ids of keys(id, at, bucket, band, sign) that an earlier accepted record holds too."""
-        buckets = [r[0] for r in keys.select("bucket").distinct().collect()]  # at most BUCKETS
-        known = self.spark.read.schema(KEYS_SCHEMA).parquet(self.path).where(F.col("bucket").isin(buckets))
-        known = known.groupBy("bucket", "band", "sign").agg(F.min(F.struct("at", "id")).alias("first"))
-        hit = keys.join(known, ["bucket", "band", "sign"])
-        return hit.where(F.col("first") < F.struct("at", "id")).select("id").distinct()
-
-    def append(self, keys: DataFrame) -> None:
-        keys.select("bucket", "band", "sign", "at", "id").repartition(BUCKETS, "bucket").write.mode("append").partitionBy("bucket").parquet(self.path)
-        self.used = True
+        #: Buckets read by the last probe, and buckets that there were.
+        self.read = (0, 0)
+
+    def segments(self) -> list[tuple[int, int, int]]:
+        """(level, number, buckets) of the segments that were written to their end."""
+        found = [tuple(map(int, m.groups())) for m in map(_SEGMENT.match, list_names(self.spark, self.path)) if m]
+        return [s for s in found if path_exists(self.spark, f"{self._at(s)}/_SUCCESS")]
+
+    def _at(self, s: tuple[int, int, int]) -> str:
+        return f"{self.path}/seg-{s[0]}-{s[1]}-{s[2]}"
+
+    def probe(self, keys: DataFrame) -> DataFrame | None:
+        """(id) of keys(id, at, band, values, sign) that an earlier accepted record holds too, null for an empty store."""
+        segments = self.segments()
+        if not segments:
+            return None
+        most = max(b for _, _, b in segments)
+        # of at most MOST_BUCKETS; a segment's bucket is the last bits of that of any larger one
+        asked = {r[0] for r in keys.select(_bucket(most)).distinct().collect()} if most > 1 else {0}
+        paths, read = [], 0
+        for s in segments:
+            mine = {k % s[2] for k in asked}
+            read += len(mine)
+            paths += [f"{self._at(s)}/{b}" for b in list_names(self.spark, self._at(s)) if b.startswith("bucket=") and int(b[7:]) in mine]
+        self.read = (read, sum(b for _, _, b in segments))
+        if not paths:
+            return None
+        parts = self.spark.read.schema(KEYS).parquet(*paths)
+        known = parts.select("band", F.col("values").alias("v"), F.col("sign").alias("s"), F.struct("at", "id").alias("first"))
+        hit = known.join(broadcast_if_small(keys), "band").where((F.col("v") == F.col("values")) & (F.col("s") == F.col("sign")) & (F.col("first") < F.struct("at", "id")))
+        return hit.select("id")
+
+    def append(self, keys: DataFrame, most: int) -> None:
+        """keys: at most so many."""
+        self._write(keys.select("band", "values", "sign", "at", "id"), most, 0, 1 + max((n for _, n, _ in self.segments()), default=-1))
+        level = 0
+        while len(full := [s for s in self.segments() if s[0] == level]) >= FAN:
+            rows = None
+            for s in full:
+                part = self.spark.read.schema(KEYS).parquet(self._at(s))
+                rows = part if rows is None else rows.union(part)
+            rows = materialize(rows, "history-merge")
+            self._write(rows, rows.count(), level + 1, max(n for _, n, _ in full))
+            for s in full:
+                delete_path(self.spark, self._at(s))  # until then its keys are there twice, which changes nothing
+            level += 1
+
+    def _write(self, keys: DataFrame, n: int, level: int, number: int) -> None:
+        buckets = 1
+        while buckets * KEYS_PER_BUCKET < n and buckets < MOST_BUCKETS:
+            buckets *= 2
+        keys = keys.withColumn("bucket", _bucket(buckets))
+        keys = keys.coalesce(1) if buckets == 1 else keys.repartition(buckets, "bucket")
+        keys.write.mode("overwrite").partitionBy("bucket").parquet(self._at((level, number, buckets)))
 
     def batch(self, df: DataFrame) -> DataFrame:
+        """df(scrape_id, url, content_hash, scraped_at) -> (id) of those that only repeat an accepted record; see batch_keys."""
+        return self.batch_keys(materialize(record_keys(df), "batch-keys"))
+
+    def batch_keys(self, keys: DataFrame, n: int | None = None) -> DataFrame:
         """(id) of the batch's records that only repeat an accepted one; the others are accepted and remembered.
 
-        Within the batch the records are taken in order of time, then id. That order is resolved in rounds: a record
-        that is the first undecided one under each of its keys is accepted, and everything under those keys repeats it.
-        Records without any key are accepted. Nothing is dropped for size: a key that a third of all records hold is
-        one row of a partial aggregate and one side of a join that is split where it is skewed.
+        Within the batch the records are taken in order of time, then id; records without any key are accepted. A batch of
+        at most ONE_TASK keys is taken in order by one task, a larger one as later_repeats does it, with the same result:
+        there a key that a third of all records hold is one row of a partial aggregate and one side of a join split where
+        skewed. n: how many keys there are, if known.
         """
-        rec = materialize(records(df).repartition("id"), "batch")
-        keys = rec.select("id", "at", F.explode("keys").alias("k")).select("id", "at", "k.band", "k.sign", F.pmod(F.col("k.band"), F.lit(BUCKETS)).cast("int").alias("bucket"))
-        keys = materialize(keys, "batch-keys")
-        done = self.probe(keys) if self.used else None
-        if done is not None:
-            done = materialize(done, "batch-old")
-        left = keys if done is None else keys.join(done, "id", "left_anti")
-        # keys that only one record of the batch holds decide nothing inside it
-        counts = left.groupBy("sign").agg(F.count("*").alias("n")).where("n > 1").select("sign")
-        open_ = materialize(left.join(counts, "sign", "left_semi"), "batch-open")
-        repeats = []
-        while not open_.isEmpty():
-            first = open_.groupBy("sign").agg(F.min(F.struct("at", "id")).alias("first"))
-            seen = open_.join(first, "sign").select("id", "at", "sign", (F.col("first.id") == F.col("id")).alias("is_first"))
-            state = materialize(seen, "batch-round")
-            taken = state.groupBy("id").agg(F.min("is_first").alias("all_first")).where("all_first").select("id")
-            taken_keys = state.join(taken, "id", "left_semi").select("sign").distinct()
-            again = state.join(taken_keys, "sign", "left_semi").select("id").distinct().join(taken, "id", "left_anti")
-            again = materialize(again, "batch-repeat")
-            repeats.append(again)
-            open_ = materialize(open_.join(again, "id", "left_anti").join(taken, "id", "left_anti"), "batch-open")
-        found = done
-        for r in repeats:
-            found = r if found is None else found.union(r)
-        if found is None:
-            found = keys.select("id").limit(0)
-        self.append(keys.join(found, "id", "left_anti"))
-        return found
-
-
-def repeats(df: DataFrame, batches: int = 3, path: str | None = None) -> DataFrame:
+        n = keys.count() if n is None else n
+        old = self.probe(keys)
+        if n <= ONE_TASK:
+            rows = keys.withColumn("old", F.lit(False))
+            if old is not None:
+                rows = old.select("id", *[F.lit(0 if t == "bigint" else None).cast(t).alias(c) for c, t in keys.dtypes if c != "id"], F.lit(True).alias("old")).select(rows.columns).union(rows)
+            schema = ", ".join(f"{c} {t}" for c, t in keys.dtypes) + ", again boolean"
+            done = materialize(rows.coalesce(1).sortWithinPartitions(F.desc("old"), "at", "id").mapInPandas(_in_order, schema), "batch-done")
+            self.append(done.where("NOT again"), n)
+            return done.where("again").select("id").distinct()
+        left = keys
+        if old is not None:
+            old = materialize(old.distinct(), "batch-old")
+            left = keys.join(broadcast_if_small(old), "id", "left_anti")
+        again = materialize(later_repeats(left.select("id", "at", F.col("sign").alias("key"))), "batch-again")
+        self.append(left.join(broadcast_if_small(again), "id", "left_anti"), n)
+        return again if old is None else old.union(again)
+
+
+def _in_order(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows that only name an old repeat first, then the batch's in order; gives the latter with whether they repeat."""
+    old: set[int] = set()
+    taken: set[bytes] = set()
+    last, mine, again = None, [], False
+    held: list[pd.DataFrame] = []
+    for pdf in batches:
+        old.update(pdf["id"][pdf["old"]].tolist())
+        held.append(pdf[~pdf["old"]].drop(columns="old"))
+    rows = pd.concat(held, ignore_index=True)
+    out = np.zeros(len(rows), bool)
+    at: list[int] = []
+    for k, (i, sign) in enumerate(zip(rows["id"].tolist(), rows["sign"].tolist())):
+        if i != last:
+            if not again:
+                taken.update(mine)
+            out[at] = again
+            last, mine, at, again = i, [], [], i in old
+        at.append(k)
+        mine.append(sign)
+        again = again or sign in taken
+    out[at] = again
+    yield rows.assign(again=out)
+
+
+def _bucket(n: int) -> Column:
+    return F.col("band").bitwiseAND(n - 1).cast("int")
+
+
+def repeats(df: DataFrame, path: str | None = None) -> DataFrame:
     """(scrape_id) of all records that repeat an accepted one.
 
-    The days (UTC) go through the store in order, so many at a time that there are about as many rows in each batch:
-    the result is the same for any number of batches, one day at a time included. Ties in time go by id. Null url and
-    null or empty hash are no keys. An empty table gives no rows.
+    The days (UTC) go through the store in order, a batch each. Ties in time go by id. Null url and null or empty hash
+    are no keys. An empty table gives no rows. Keys are made in one pass over the table, which writes them by day.
     """
     spark = df.sparkSession
-    at = F.unix_micros(F.date_trunc("day", F.coalesce(instant(F.col("scraped_at")), F.lit("9999-01-01").cast("timestamp"))))
-    cuts = df.select(F.percentile_approx(at, [i / batches for i in range(1, batches)], 1000).alias("q")).first()["q"] if batches > 1 else []
-    cuts = sorted(set(cuts or []))
-    history, out = History(spark, path), None
-    for lo, hi in zip([None, *cuts], [*cuts, None]):
-        part = df
-        if lo is not None:
-            part = part.where(at > lo)
-        if hi is not None:
-            part = part.where(at <= hi)
-        found = history.batch(part)
-        out = found if out is None else out.union(found)
+    keyed = scratch_path(spark, "keys-by-day")
+    keys = record_keys(df).withColumn("day", F.date_format("at", "yyyyMMdd"))
+    keys.repartition("day").write.mode("overwrite").partitionBy("day").parquet(keyed)
+    schema = "id long, at timestamp, band long, values array<long>, sign binary"
+    size = {r["day"]: r["count"] for r in spark.read.schema(schema + ", day string").parquet(keyed).groupBy("day").count().collect()}  # a row a day
+    history, out = History(spark, path), df.select(F.col("scrape_id").alias("id")).limit(0)
+    for day in sorted(size):
+        out = out.union(history.batch_keys(spark.read.schema(schema).parquet(f"{keyed}/day={day}"), size[day]))
     return out.select(F.col("id").alias("scrape_id"))
