@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from cribra.llm import history, mixing, overlap, packing, pieces, splits, standing_lines, truncation
 from cribra.llm import news as news_ops
-from cribra.tables import table
+from cribra.tables import materialize, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -47,16 +47,24 @@ def p3_stats(spark: SparkSession, d: str) -> DataFrame:
     return df.select("article_id", *[F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes if c in STATS])
 
 
-def _author_nodes(spark: SparkSession, d: str) -> DataFrame:
-    return splits.record_nodes(news(spark, d, "article_id", "source", "authors"), splits.outlet_keys(table(spark, d, "sources")))
+def _component_table(spark: SparkSession, d: str) -> tuple[splits.ComponentTable, list[DataFrame]]:
+    """The table after the articles have come in two increments, those labelled up to the median time first, and what
+    each increment was assigned."""
+    t = news(spark, d, "article_id", "source", "authors", "labeled_at")
+    outlets, table_ = splits.outlet_keys(table(spark, d, "sources")), splits.ComponentTable(spark)
+    middle = t.select(F.percentile_approx(F.unix_micros(F.col("labeled_at").cast("timestamp")), 0.5)).first()[0]
+    early = F.coalesce(F.unix_micros(F.col("labeled_at").cast("timestamp")) <= F.lit(middle), F.lit(True))
+    return table_, [table_.run(materialize(splits.record_nodes(t.where(w), outlets), "record-nodes")) for w in (early, ~early)]
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    return splits.linked_sources(_author_nodes(spark, d))
+    return splits.linked_sources(_component_table(spark, d)[0].read())
 
 
 def p4_splits(spark: SparkSession, d: str) -> DataFrame:
-    return splits.ComponentTable(spark).run(_author_nodes(spark, d))
+    """The splits of both increments; a later merge of components in different splits is seen from the second one on."""
+    first, second = _component_table(spark, d)[1]
+    return first.union(second)
 
 
 def _overlaps(spark: SparkSession, d: str) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from cribra.llm.persons import fold, persons
 from cribra.operators.components import connected_components
-from cribra.tables import materialize, scratch_path
+from cribra.tables import delete_path, list_names, materialize, path_exists, scratch_path
 
 SHARES = {"train": 0.70, "val": 0.15, "test": 0.15}
 #: Components that hold at least this share of all records are placed one by one, so there are at most 1 / LARGE.
@@ -104,22 +104,36 @@ def assign(nodes: DataFrame, known: DataFrame | None = None, shares: dict[str, f
 
 
 class ComponentTable:
-    """The persisted component table: run(nodes) assigns new records and writes the next version."""
+    """The persisted component table under a path: run(nodes) assigns new records and writes the next version.
+
+    The version comes from the path, so a new object goes on where another ended. A version counts once it was written
+    to its end; the last one before it stays, for a run that is repeated.
+    """
 
     def __init__(self, spark: SparkSession, path: str | None = None):
-        self.spark, self.path, self.version = spark, path or scratch_path(spark, "component-table"), 0
+        self.spark, self.path = spark, path or scratch_path(spark, "component-table")
+
+    def version(self) -> int:
+        found = [int(n[1:]) for n in list_names(self.spark, self.path) if n[:1] == "v" and n[1:].isdigit() and path_exists(self.spark, f"{self.path}/{n}/_SUCCESS")]
+        return max(found, default=0)
+
+    def read(self) -> DataFrame | None:
+        """(node, component, split) of the last version, null before the first."""
+        v = self.version()
+        return self.spark.read.schema("node string, component string, split string").parquet(f"{self.path}/v{v}") if v else None
 
     def run(self, nodes: DataFrame, shares: dict[str, float] = SHARES) -> DataFrame:
-        known = self.spark.read.parquet(f"{self.path}/v{self.version}") if self.version else None
-        rec, table = assign(nodes, known, shares)
-        self.version += 1
-        table.write.mode("overwrite").parquet(f"{self.path}/v{self.version}")
+        rec, table = assign(nodes, self.read(), shares)
+        v = self.version()
+        table.write.mode("overwrite").parquet(f"{self.path}/v{v + 1}")
+        delete_path(self.spark, f"{self.path}/v{v - 1}")
         return rec
 
 
-def linked_sources(nodes: DataFrame) -> DataFrame:
-    """(source_a, source_b), source_a < source_b, of all sources in one component: the form the pairs are asked in."""
-    comp = components_of(nodes).where("node LIKE 's:%'").select(F.expr("substring(node, 3)").alias("source"), "component")
+def linked_sources(table: DataFrame) -> DataFrame:
+    """table(node, component) -> (source_a, source_b), source_a < source_b, of all sources in one component: the form the
+    pairs are asked in."""
+    comp = table.where("node LIKE 's:%'").select(F.expr("substring(node, 3)").alias("source"), "component")
     comp = materialize(comp, "source-components")
     a, b = comp.toDF("source_a", "component"), comp.toDF("source_b", "component")
     return a.join(b, "component").where("source_a < source_b").select("source_a", "source_b")
