@@ -3,7 +3,9 @@
 A backward character n-gram model: how often a final context - the last 2, 4, 8 or 16 signs - stands at the end of a
 text against how often the text goes on behind it. The orders are interpolated from the shortest to the longest, a
 text's own end is left out of the counts, and equal texts count once. A complete text ends in a context in which texts
-do end; a cut one in a context that is nearly always continued.
+do end; a cut one in a context that is nearly always continued. A mark of omission or damage that a text ends in is one
+sign to the model, and where it stands last the text is counted as one that goes on, as the mark says: so the odds of
+that sign are those of a context that never ends a text.
 
 Contexts are counted by 64-bit hashes, each with its own counts: ends first, then, in one pass over all texts, the
 continuations of those contexts. A bitmap of the final contexts' hashes, of bounded size, goes to the executors and keeps
@@ -12,6 +14,7 @@ most other positions out of the shuffle; what it lets pass in error is dropped b
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
@@ -34,14 +37,19 @@ HELD = 1 << 21
 PRIOR = 60.0
 #: Characters joined before they are counted at once.
 CHUNK = 1 << 18
-#: A language needs so many distinct texts for a threshold of its own.
-MIN_TEXTS = 1000
-#: Log10 odds between which thresholds may lie, and the one used before any language has enough texts. At 0 a context is
-#: an end as often as any position is.
+#: Distinct texts that the histogram of all languages weighs beside a language's own, and a fixed one beside that of all.
+WEIGHT = 1000
+#: Log10 odds between which thresholds may lie, and where the fixed histogram is emptiest. At 0 a context is an end as
+#: often as any position is.
 LOW, HIGH, DEFAULT = -0.3, 0.5, 0.1
+#: Code points at a text's end that are put into normal form first; see _ends.
+NEAR = 600
 
 #: Marks that stand where the rest was lost: omission marks, damaged signs, entities, escapes and tags.
+#: Fixed forms.
 MARKS = r"(?:\.\.\.|…|\[\s*(?:\.\.\.|…)?\s*\]?|�|&(?:#?\w{0,8})|\\u?[0-9a-fA-F]{0,4}|\\|</?\w*(?:\s[^<>]*)?|%[0-9A-Fa-f]?|[(\[{«“¿¡])\s*$"
+#: What a mark at the end becomes; twice, so that the shortest context is the mark alone.
+MARK = "\x01\x01"
 
 
 _PAD = "\0" * ORDERS[-1]
@@ -164,21 +172,54 @@ def _hashes(codes: np.ndarray) -> list[np.ndarray]:
     return out
 
 
+def _ends(texts: list[str]) -> list[np.ndarray]:
+    """Hash of each text's final context, by order; that of its normal form as a whole.
+
+    Normal form is made line by line, so the lines from NEAR code points before the end on have it for themselves; where
+    they leave fewer signs than the longest context has, the whole text is taken.
+    """
+    near = [t[t.rfind("\n", 0, max(0, len(t) - NEAR)) + 1 :] for t in texts]
+    codes, ends = normal_codes(near)
+    out = [h[ends] for h in _hashes(codes)]
+    k = ORDERS[-1]
+    window = np.minimum.accumulate(codes[np.maximum(ends[:, None] - np.arange(k + 1), 0)], axis=1)[:, -1]  # 0 where a pad is near
+    short = [i for i in np.flatnonzero(window == 0) if len(near[i]) < len(texts[i])]
+    if short:
+        codes, ends = normal_codes([texts[i] for i in short])
+        for mine, h in zip(out, _hashes(codes)):
+            mine[short] = h[ends]
+    return out
+
+
 def final_contexts(docs: DataFrame) -> DataFrame:
-    """docs(doc_id, text, ...) -> (doc_id, language, same, c2, ... c16): hash of each text's final context, by order."""
+    """docs(doc_id, text, ...) -> (doc_id, language, same, mark, c2, ... c16): whether a mark stands at the end, and the hash
+    of each text's final context, by order."""
+    at_end = re.compile(MARKS, re.ASCII)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             if not len(pdf):
                 continue
-            codes, ends = normal_codes(list(pdf["tail"]))
-            at = {f"c{k}": h[ends] for k, h in zip(ORDERS, _hashes(codes))}
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "language": pdf["language"], "same": pdf["same"], **at})
+            texts, marks = [], []
+            for t in pdf["text"]:
+                m = _mark(at_end, t)
+                marks.append(m is not None)
+                texts.append(t if m is None else t[:m] + MARK)
+            at = {f"c{k}": h for k, h in zip(ORDERS, _ends(texts))}
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "language": pdf["language"], "same": pdf["same"], "mark": marks, **at})
 
     language = F.lower(F.regexp_extract(F.coalesce("lang", F.lit("")), r"^[A-Za-z]{2}(?=$|[-_])", 0))
     solid = F.expr("trim(TRAILING ' \n\r\t' || char(160) FROM text)")
-    rows = docs.where("text IS NOT NULL").select("doc_id", F.when(language != "", language).otherwise("und").alias("language"), F.xxhash64(solid).alias("same"), F.right(solid, F.lit(600)).alias("tail"))
-    return rows.where(r"tail RLIKE '\\S'").mapInPandas(run, "doc_id long, language string, same long, " + ", ".join(f"c{k} long" for k in ORDERS))
+    rows = docs.where("text IS NOT NULL").select("doc_id", F.when(language != "", language).otherwise("und").alias("language"), F.xxhash64(solid).alias("same"), solid.alias("text"))
+    return rows.where(r"text RLIKE '\\S'").mapInPandas(run, "doc_id long, language string, same long, mark boolean, " + ", ".join(f"c{k} long" for k in ORDERS))
+
+
+def _mark(at_end: re.Pattern, t: str) -> int | None:
+    """Where a mark begins that the text ends in. A tag begins at the last <, brackets at the last [, all others are short."""
+    for start in (t.rfind("<"), t.rfind("["), max(0, len(t.rstrip()) - 16)):
+        if start >= 0 and (m := at_end.search(t, start)):
+            return m.start()
+    return None
 
 
 def _bitmap(ends: DataFrame) -> tuple[int, np.ndarray]:
@@ -253,21 +294,22 @@ def end_odds(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     tails = materialize(final_contexts(docs), "tails")
-    long = tails.select("same", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"c{k}").alias("c")) for k in ORDERS])).alias("x")).select("same", "x.*")
-    ends = materialize(long.distinct().groupBy("k", "c").agg(F.count("*").alias("ends")), "end-contexts")
+    long = tails.select("same", "mark", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"c{k}").alias("c")) for k in ORDERS])).alias("x")).select("same", "mark", "x.*")
+    ends = materialize(long.distinct().groupBy("k", "c").agg(F.count_if(~F.col("mark")).alias("ends"), F.count_if("mark").alias("on")), "end-contexts")
     # one text of each content, as for the ends
     first = materialize(tails.groupBy("same").agg(F.min("doc_id").alias("doc_id")).select("doc_id"), "distinct-texts")
     inside = materialize(_continued(docs.join(broadcast_if_small(first), "doc_id", "left_semi").select("text"), spark.sparkContext.broadcast(_bitmap(ends))), "continued")
     positions = (inside.where("k = 0").first() or {"inside": 0})["inside"] or 1
     texts = first.count() or 1
-    model = materialize(ends.join(inside, ["k", "c"], "left").select("k", "c", "ends", F.coalesce("inside", F.lit(0)).alias("inside")), "end-model")
+    model = materialize(ends.join(inside, ["k", "c"], "left").select("k", "c", "ends", (F.coalesce("inside", F.lit(0)) + F.col("on")).alias("inside")), "end-model")
     df = tails
     base = texts / (positions + texts)
     p = F.lit(base)
     for k in ORDERS:
         m = broadcast_if_small(model.where(f"k = {k}")).select(F.col("c").alias(f"c{k}"), F.col("ends").alias(f"e{k}"), F.col("inside").alias(f"i{k}"))
         df = df.join(m, f"c{k}", "left")
-        e, i = F.greatest(F.coalesce(f"e{k}", F.lit(1)) - 1, F.lit(0)), F.coalesce(f"i{k}", F.lit(0))
+        own = F.when(F.col("mark"), 0).otherwise(1)
+        e, i = F.greatest(F.coalesce(f"e{k}", F.lit(1)) - own, F.lit(0)), F.coalesce(f"i{k}", F.lit(0))
         p = (e + PRIOR * p) / (e + i + PRIOR)
     return df.select("doc_id", "language", "same", F.log10(p / base).alias("odds"))
 
@@ -275,33 +317,33 @@ def end_odds(docs: DataFrame) -> DataFrame:
 def thresholds(odds: DataFrame) -> DataFrame:
     """(language, threshold): in each language the emptiest place between the ends that are continued and the others.
 
-    Over a histogram of fixed bins of distinct texts, smoothed by its neighbours; a language of fewer than MIN_TEXTS
-    distinct texts takes that of all.
+    Over a histogram of fixed bins of distinct texts, smoothed by its neighbours. The fewer texts a language has, the more
+    the histogram of all counts beside its own, and beside that a fixed one whose valley is at DEFAULT.
     """
     step = 0.1
     hist = odds.select("language", "same", F.round(F.col("odds") / step).cast("int").alias("b")).distinct().groupBy("language", "b").agg(F.count("*").alias("n")).collect()
-    by: dict[str, dict[int, int]] = {}
+    by: dict[str, dict[int, float]] = {}
+    bins = range(round(LOW / step) - 2, round(HIGH / step) + 3)
+    every = {b: abs(b * step - DEFAULT) for b in bins}
+    every = {b: WEIGHT * n / sum(every.values()) for b, n in every.items()}
     for r in hist:
-        for lang in (r["language"], "*"):
-            d = by.setdefault(lang, {})
+        for d in (by.setdefault(r["language"], {}), every):
             d[r["b"]] = d.get(r["b"], 0) + r["n"]
+    whole = sum(every.values())
 
-    def valley(d: dict[int, int]) -> float:
-        best = min(range(round(LOW / step), round(HIGH / step) + 1), key=lambda b: (sum(d.get(b + j, 0) * (3 - abs(j)) for j in range(-2, 3)), abs(b * step - DEFAULT)))
+    def valley(d: dict[int, float]) -> float:
+        count = {b: d.get(b, 0) + WEIGHT * every.get(b, 0) / whole for b in bins}
+        best = min(bins[2:-2], key=lambda b: (sum(count[b + j] * (3 - abs(j)) for j in range(-2, 3)), abs(b * step - DEFAULT)))
         return best * step
 
-    every = by.get("*", {})
-    general = valley(every) if sum(every.values()) >= MIN_TEXTS else DEFAULT
-    rows = [(lang, valley(d) if sum(d.values()) >= MIN_TEXTS else general) for lang, d in by.items() if lang != "*"]
-    return odds.sparkSession.createDataFrame(rows, "language string, threshold double")
+    return odds.sparkSession.createDataFrame([(lang, valley(d)) for lang, d in by.items()], "language string, threshold double")
 
 
 def truncated(docs: DataFrame) -> DataFrame:
-    """(doc_id, odds, threshold, cut) of every text that isn't blank. A mark of omission or damage at the end is a cut."""
+    """(doc_id, odds, threshold, cut) of every text that isn't blank."""
     odds = materialize(end_odds(docs), "end-odds")
-    marks = docs.select("doc_id", F.coalesce(F.right("text", F.lit(200)).rlike(MARKS), F.lit(False)).alias("mark"))
-    j = odds.join(F.broadcast(thresholds(odds)), "language").join(marks, "doc_id")
-    return j.select("doc_id", "odds", "threshold", (F.col("mark") | (F.col("odds") < F.col("threshold"))).alias("cut"))
+    j = odds.join(F.broadcast(thresholds(odds)), "language")
+    return j.select("doc_id", "odds", "threshold", (F.col("odds") < F.col("threshold")).alias("cut"))
 
 
 def truncated_share(docs: DataFrame, flags: DataFrame) -> DataFrame:
