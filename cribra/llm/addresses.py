@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cribra.functions.text import barrier
+
 #: Query parameters that say how a link was shared or shown, not which page it leads to. Fixed values.
 TRACKING = r"(?:utm_\w+|_ga|_gl|gclid|gclsrc|dclid|fbclid|igshid|igsh|mc_cid|mc_eid|msclkid|twclid|yclid|ttclid|wbraid|gbraid|_hsenc|_hsmi|mkt_tok|spm|ref|ref_src|referrer|share|shared|ncid|cmpid|wt_mc|s_cid)"
 VIEW = r"(?:amp|amp_js_v|print|printer|printable|imprimir|view|vista|output|outputtype|m|mobile|movil|version)"
@@ -14,11 +16,28 @@ def canonical_url(url: Column) -> Column:
     """The page a link leads to, without protocol, host prefix (www, m, amp ...), port, fragment, tracking, AMP, print
     and mobile view, escapes, trailing slash and order of parameters. Other host sections, ids, page numbers and parts
     (video, gallery) stay. Null and blank give null; text that is no address gives itself, trimmed."""
-    u = F.regexp_replace(url, r"(?U)^\s+|\s+$", "")
-    u = F.regexp_replace(u, r"#.*$", "")
+    return _assembled(_decoded(_bare(url)))
+
+
+def with_page(df: DataFrame, url: Column, name: str) -> DataFrame:
+    """Adds canonical_url(url); each step is computed once, as its result comes out of a generator."""
+    df = barrier(barrier(df, "__bare", _bare(url)), "__decoded", _decoded(F.col("__bare")))
+    return barrier(df, name, _assembled(F.col("__decoded"))).drop("__bare", "__decoded")
+
+
+def _bare(url: Column) -> Column:
+    """Without white space around and without fragment."""
+    return F.regexp_replace(F.regexp_replace(url, r"(?U)^\s+|\s+$", ""), r"#.*$", "")
+
+
+def _decoded(u: Column) -> Column:
+    """Only escapes that can't change the structure are decoded."""
     plain = F.try_url_decode(F.regexp_replace(u, r"\+", "%2B"))
-    # decode only escapes that can't change the structure
-    u = F.when(u.rlike("%(?!2[36F]|3[DF]|25)[0-9A-Fa-f]{2}") & plain.isNotNull() & ~u.rlike("(?i)%(?:2[36f]|3[df]|25)"), plain).otherwise(u)
+    harmless = F.contains(u, F.lit("%")) & u.rlike("%(?!2[36F]|3[DF]|25)[0-9A-Fa-f]{2}") & ~u.rlike("(?i)%(?:2[36f]|3[df]|25)")
+    return F.when(harmless, F.coalesce(plain, u)).otherwise(u)
+
+
+def _assembled(u: Column) -> Column:
     u = F.regexp_replace(u, r"(?i)^(?:[a-z][a-z0-9+.-]*:)?//", "")
     host = F.lower(F.regexp_extract(u, r"^[^/?]*", 0))
     host = F.regexp_replace(host, r"^[^@]*@|:(?:80|443)?$|\.$", "")

@@ -20,14 +20,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cribra.llm.addresses import canonical_url, content_key, instant
+from cribra.llm.addresses import content_key, instant, with_page
 from cribra.operators.ledger import ONE_TASK, later_repeats
-from cribra.tables import broadcast_if_small, delete_path, list_names, materialize, path_exists, scratch_path
+from cribra.tables import broadcast_if_small, delete_path, list_names, materialize, move_path, path_exists, scratch_path
 
 #: Minwise values in a band.
 ROWS_PER_BAND = 4
 #: A segment's buckets are a power of two: of about so many keys each, and never more than the second figure.
-KEYS_PER_BUCKET, MOST_BUCKETS = 16_384, 4096
+KEYS_PER_BUCKET, MOST_BUCKETS = 65_536, 4096
 #: Segments of a level that are merged into one of the next.
 FAN = 8
 KEYS = "band long, values array<long>, sign binary, at timestamp, id long"
@@ -44,9 +44,10 @@ def record_keys(df: DataFrame) -> DataFrame:
 
     A record whose time can't be read comes last. Null or blank urls, and hashes that say nothing, are no keys.
     """
-    page, content = canonical_url(F.col("url")), content_key(F.col("content_hash"))
     at = F.coalesce(instant(F.col("scraped_at")), F.lit("9999-01-01").cast("timestamp"))
-    df = df.select(F.col("scrape_id").alias("id"), at.alias("at"), F.explode(F.array(F.struct(F.lit(0).alias("kind"), page.alias("key")), F.struct(F.lit(1).alias("kind"), content.alias("key")))).alias("k")).where("k.key IS NOT NULL")
+    df = df.select(F.col("scrape_id").alias("id"), at.alias("at"), "url", content_key(F.col("content_hash")).alias("content"))
+    both = F.array(F.struct(F.lit(0).alias("kind"), F.col("page").alias("key")), F.struct(F.lit(1).alias("kind"), F.col("content").alias("key")))
+    df = with_page(df, F.col("url"), "page").select("id", "at", F.explode(both).alias("k")).where("k.key IS NOT NULL")
     tokens = F.when(F.col("k.kind") == 0, F.split("k.key", r"[/?&=-]")).otherwise(F.array("k.key"))
     df = df.select("id", "at", "k.kind", F.explode(F.array(signature(tokens))).alias("values"), F.unhex(F.md5(F.concat_ws(":", "k.kind", "k.key"))).alias("sign"))
     return df.select("id", "at", F.xxhash64("kind", "values").alias("band"), "values", "sign")
@@ -68,6 +69,10 @@ class History:
     def _at(self, s: tuple[int, int, int]) -> str:
         return f"{self.path}/seg-{s[0]}-{s[1]}-{s[2]}"
 
+    def _accepted(self, s: tuple[int, int, int]) -> str:
+        """Of a segment the accepted records' keys; beside them lie the ids of the batch's repeats."""
+        return f"{self._at(s)}/again=false"
+
     def probe(self, keys: DataFrame) -> DataFrame | None:
         """(id) of keys(id, at, band, values, sign) that an earlier accepted record holds too, null for an empty store."""
         segments = self.segments()
@@ -80,7 +85,7 @@ class History:
         for s in segments:
             mine = {k % s[2] for k in asked}
             read += len(mine)
-            paths += [f"{self._at(s)}/{b}" for b in list_names(self.spark, self._at(s)) if b.startswith("bucket=") and int(b[7:]) in mine]
+            paths += [f"{self._accepted(s)}/{b}" for b in list_names(self.spark, self._accepted(s)) if b.startswith("bucket=") and int(b[7:]) in mine]
         self.read = (read, sum(b for _, _, b in segments))
         if not paths:
             return None
@@ -89,58 +94,70 @@ class History:
         hit = known.join(broadcast_if_small(keys), "band").where((F.col("v") == F.col("values")) & (F.col("s") == F.col("sign")) & (F.col("first") < F.struct("at", "id")))
         return hit.select("id")
 
-    def append(self, keys: DataFrame, most: int) -> None:
-        """keys: at most so many."""
-        self._write(keys.select("band", "values", "sign", "at", "id"), most, 0, 1 + max((n for _, n, _ in self.segments()), default=-1))
+    def _write(self, rows: DataFrame, n: int, level: int, number: int | None = None) -> tuple[int, int, int]:
+        """Writes rows(again, band, values, sign, at, id), at most n, as a segment, and merges what is to be merged."""
+        buckets = 1
+        while buckets * KEYS_PER_BUCKET < n and buckets < MOST_BUCKETS:
+            buckets *= 2
+        if number is None:
+            number = 1 + max((k for _, k, _ in self.segments()), default=-1)
+        s = level, number, buckets
+        rows = rows.select("again", _bucket(buckets).alias("bucket"), "band", "values", "sign", "at", "id")
+        # few rows are one file a bucket from one task already
+        rows = rows if n <= ONE_TASK else rows.repartition(buckets, "again", "bucket")
+        rows.write.mode("overwrite").partitionBy("again", "bucket").parquet(self._at(s))
+        return s
+
+    def _merge(self) -> None:
         level = 0
         while len(full := [s for s in self.segments() if s[0] == level]) >= FAN:
-            rows = None
-            for s in full:
-                part = self.spark.read.schema(KEYS).parquet(self._at(s))
-                rows = part if rows is None else rows.union(part)
-            rows = materialize(rows, "history-merge")
-            self._write(rows, rows.count(), level + 1, max(n for _, n, _ in full))
+            at = [f"{self._accepted(s)}/{b}" for s in full for b in list_names(self.spark, self._accepted(s))]
+            rows = materialize(self.spark.read.schema(KEYS).parquet(*at).withColumn("again", F.lit(False)), "history-merge")
+            n = rows.count()
+            self._write(rows.coalesce(1) if n <= ONE_TASK else rows, n, level + 1, max(k for _, k, _ in full))
             for s in full:
                 delete_path(self.spark, self._at(s))  # until then its keys are there twice, which changes nothing
             level += 1
 
-    def _write(self, keys: DataFrame, n: int, level: int, number: int) -> None:
-        buckets = 1
-        while buckets * KEYS_PER_BUCKET < n and buckets < MOST_BUCKETS:
-            buckets *= 2
-        keys = keys.withColumn("bucket", _bucket(buckets))
-        keys = keys.coalesce(1) if buckets == 1 else keys.repartition(buckets, "bucket")
-        keys.write.mode("overwrite").partitionBy("bucket").parquet(self._at((level, number, buckets)))
-
     def batch(self, df: DataFrame) -> DataFrame:
         """df(scrape_id, url, content_hash, scraped_at) -> (id) of those that only repeat an accepted record; see batch_keys."""
-        return self.batch_keys(materialize(record_keys(df), "batch-keys"))
+        keys = materialize(record_keys(df), "batch-keys")
+        out = scratch_path(self.spark, "batch-again")
+        self.batch_keys(keys, keys.count(), out)
+        return _ids(self.spark, out)
 
-    def batch_keys(self, keys: DataFrame, n: int | None = None) -> DataFrame:
-        """(id) of the batch's records that only repeat an accepted one; the others are accepted and remembered.
+    def batch_keys(self, keys: DataFrame, n: int, out: str) -> None:
+        """Of keys(id, at, band, values, sign), n rows, those of records that only repeat an accepted one go to the folder out;
+        the others are accepted and remembered.
 
         Within the batch the records are taken in order of time, then id; records without any key are accepted. A batch of
         at most ONE_TASK keys is taken in order by one task, a larger one as later_repeats does it, with the same result:
         there a key that a third of all records hold is one row of a partial aggregate and one side of a join split where
-        skewed. n: how many keys there are, if known.
+        skewed.
         """
-        n = keys.count() if n is None else n
         old = self.probe(keys)
         if n <= ONE_TASK:
             rows = keys.withColumn("old", F.lit(False))
             if old is not None:
                 rows = old.select("id", *[F.lit(0 if t == "bigint" else None).cast(t).alias(c) for c, t in keys.dtypes if c != "id"], F.lit(True).alias("old")).select(rows.columns).union(rows)
             schema = ", ".join(f"{c} {t}" for c, t in keys.dtypes) + ", again boolean"
-            done = materialize(rows.coalesce(1).sortWithinPartitions(F.desc("old"), "at", "id").mapInPandas(_in_order, schema), "batch-done")
-            self.append(done.where("NOT again"), n)
-            return done.where("again").select("id").distinct()
-        left = keys
-        if old is not None:
-            old = materialize(old.distinct(), "batch-old")
-            left = keys.join(broadcast_if_small(old), "id", "left_anti")
-        again = materialize(later_repeats(left.select("id", "at", F.col("sign").alias("key"))), "batch-again")
-        self.append(left.join(broadcast_if_small(again), "id", "left_anti"), n)
-        return again if old is None else old.union(again)
+            s = self._write(rows.coalesce(1).sortWithinPartitions(F.desc("old"), "at", "id").mapInPandas(_in_order, schema), n, 0)
+            if path_exists(self.spark, f"{self._at(s)}/again=true"):
+                move_path(self.spark, f"{self._at(s)}/again=true", out)
+        else:
+            left = keys
+            if old is not None:
+                old = materialize(old.distinct(), "batch-old")
+                left = keys.join(broadcast_if_small(old), "id", "left_anti")
+            again = materialize(later_repeats(left.select("id", "at", F.col("sign").alias("key"))), "batch-again")
+            self._write(left.join(broadcast_if_small(again), "id", "left_anti").withColumn("again", F.lit(False)), n, 0)
+            (again if old is None else old.union(again)).write.mode("overwrite").parquet(out)
+        self._merge()
+
+
+def _ids(spark: SparkSession, path: str) -> DataFrame:
+    """(id) of the repeats written under a folder, none if there is no such folder."""
+    return spark.read.schema("id long").option("recursiveFileLookup", True).parquet(path).distinct() if path_exists(spark, path) else spark.createDataFrame([], "id long")
 
 
 def _in_order(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -184,7 +201,7 @@ def repeats(df: DataFrame, path: str | None = None) -> DataFrame:
     keys.repartition("day").write.mode("overwrite").partitionBy("day").parquet(keyed)
     schema = "id long, at timestamp, band long, values array<long>, sign binary"
     size = {r["day"]: r["count"] for r in spark.read.schema(schema + ", day string").parquet(keyed).groupBy("day").count().collect()}  # a row a day
-    history, out = History(spark, path), df.select(F.col("scrape_id").alias("id")).limit(0)
+    history, out = History(spark, path), scratch_path(spark, "repeats")
     for day in sorted(size):
-        out = out.union(history.batch_keys(spark.read.schema(schema).parquet(f"{keyed}/day={day}"), size[day]))
-    return out.select(F.col("id").alias("scrape_id"))
+        history.batch_keys(spark.read.schema(schema).parquet(f"{keyed}/day={day}"), size[day], f"{out}/{day}")
+    return _ids(spark, out).select(F.col("id").alias("scrape_id"))

@@ -36,6 +36,11 @@ def p2_texts(spark: SparkSession, d: str) -> DataFrame:
     return standing_lines.without_standing_lines(docs, standing_lines.standing_lines(docs)).select("article_id", "text")
 
 
+def p2_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """The blocks of each source: how many forms they have and in how many articles they stand."""
+    return standing_lines.blocks(news(spark, d, "article_id", "source", "text"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return news_ops.no_prose(news(spark, d, "article_id", "text", "url", "source"))
 
@@ -77,6 +82,13 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return _overlaps(spark, d)
 
 
+def p5_classes(spark: SparkSession, d: str) -> DataFrame:
+    """Every compared article with its class and the number of classes of the other side it agrees with."""
+    t = news(spark, d, "article_id", "text", "url", "source")
+    bodies = news_ops.judged(t).where("NOT no_prose").select("article_id", "body")
+    return overlap.classes(bodies, table(spark, d, "split_manifest").select("article_id", "split"))
+
+
 def p5_report(spark: SparkSession, d: str) -> DataFrame:
     return overlap.report(_overlaps(spark, d), news(spark, d, "article_id", "source"), table(spark, d, "split_manifest"))
 
@@ -103,6 +115,11 @@ def p8_containers(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack(documents(spark, d).select("doc_id", "text"))
 
 
+def p8_report(spark: SparkSession, d: str) -> DataFrame:
+    """How full the containers are, and how related their items."""
+    return packing.report(packing.packed(documents(spark, d).select("doc_id", "text")))
+
+
 def p9_mix(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix(documents(spark, d).select("doc_id", "source", "text"), table(spark, d, "mix_targets"))
 

@@ -24,7 +24,7 @@ def standing_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_share: float =
     Graph of a source: nodes are line forms, weighted by the documents they stand in, edges join the forms of
     consecutive non-blank lines, weighted likewise. Nodes and edges of enough support stay; connected components are
     the blocks, a node without a strong edge being a block of its own. The rows are all occurrences of the blocks'
-    lines. Rows without a source have no lines here; null text has none; a document delivered twice counts twice.
+    lines. As a node needs no edge to stay, the blocks add no row and take none: they say which lines go together. Rows without a source have no lines here; null text has none; a document delivered twice counts twice.
     Line numbers count from 0, blank lines included.
     """
     docs = docs.where("source IS NOT NULL").select("article_id", "source", F.transform(F.split("text", "\n"), line_form).alias("forms"))
@@ -46,6 +46,14 @@ def standing_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_share: float =
     return occ.join(broadcast_if_small(nodes), ["source", "form"]).select("article_id", "line_no", "source", "form", "block")
 
 
+def blocks(docs: DataFrame, min_docs: int = MIN_DOCS, min_share: float = MIN_SHARE) -> DataFrame:
+    """(source, block, forms, lines, docs): of each block its different lines, their occurrences, and the documents it stands in."""
+    lines = standing_lines(docs, min_docs, min_share)
+    by = lines.groupBy("source", "block").agg(F.countDistinct("form").alias("forms"), F.count("*").alias("lines"))
+    per = lines.select("source", "block", "article_id").distinct().groupBy("source", "block").agg(F.count("*").alias("docs"))
+    return by.join(per, ["source", "block"])
+
+
 def without_standing_lines(docs: DataFrame, lines: DataFrame) -> DataFrame:
     """docs(article_id, text) with the lines taken out; documents without such lines keep their text."""
     gone = lines.groupBy("article_id").agg(F.collect_list("line_no").alias("__gone"))
