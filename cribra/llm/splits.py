@@ -61,11 +61,11 @@ def components_of(nodes: DataFrame, known: DataFrame | None = None) -> DataFrame
 
 
 def assign(nodes: DataFrame, known: DataFrame | None = None, shares: dict[str, float] = SHARES) -> tuple[DataFrame, DataFrame]:
-    """-> (article_id, component, split) and the component table (node, component, split) to persist.
+    """-> (article_id, component, split) and the component table (node, component, split, records) to persist.
 
-    known(node, component, split): components of earlier runs keep their split. A component in which old ones of
-    different splits meet is quarantined: its records get the split ``quarantine`` and wait for a decision, as no split
-    is right for them. New components fill the splits that lack most: large ones from the largest down, one by one (there
+    known(node, component, split, records): components of earlier runs, with records of this run or not, keep their split.
+    A component in which old ones of different splits meet is quarantined: its records get the split ``quarantine`` and
+    wait for a decision, as no split is right for them. New components fill the splits that lack most: large ones from the largest down, one by one (there
     are at most 1 / LARGE); all others, by hash, in proportion to what is lacking then, so that records arriving later
     change nothing for them.
     """
@@ -74,15 +74,17 @@ def assign(nodes: DataFrame, known: DataFrame | None = None, shares: dict[str, f
     rec = materialize(rec, "record-components")
     sizes = rec.groupBy("component").agg(F.count("*").alias("n"))
     if known is not None:
-        old = known.join(comp.withColumnRenamed("component", "now"), "node").groupBy("now").agg(F.min("split").alias("lo"), F.max("split").alias("hi"))
-        old = old.select(F.col("now").alias("component"), F.when(F.col("lo") == F.col("hi"), F.col("lo")).otherwise(F.lit("quarantine")).alias("old"))
-        sizes = sizes.join(old, "component", "left")
+        # an old component's name is one of its nodes
+        old = known.select(F.col("component").alias("node"), "split", "records").distinct().join(comp, "node")
+        old = old.groupBy("component").agg(F.min("split").alias("lo"), F.max("split").alias("hi"), F.sum("records").alias("before"))
+        old = old.select("component", "before", F.when(F.col("lo") == F.col("hi"), F.col("lo")).otherwise(F.lit("quarantine")).alias("old"))
+        sizes = sizes.join(old, "component", "full")
     else:
-        sizes = sizes.withColumn("old", F.lit(None).cast("string"))
-    sizes = materialize(sizes, "component-sizes")
-    total = sizes.agg(F.sum("n")).first()[0] or 0
+        sizes = sizes.withColumns({"before": F.lit(0), "old": F.lit(None).cast("string")})
+    sizes = materialize(sizes.select("component", "old", F.coalesce("n", F.lit(0)).alias("n"), (F.coalesce("n", F.lit(0)) + F.coalesce("before", F.lit(0))).cast("long").alias("records")), "component-sizes")
+    total = sizes.agg(F.sum("records")).first()[0] or 0
     lack = {s: total * w for s, w in shares.items()}
-    for r in sizes.where("old IS NOT NULL").groupBy("old").agg(F.sum("n").alias("n")).collect():
+    for r in sizes.where("old IS NOT NULL").groupBy("old").agg(F.sum("records").alias("n")).collect():
         if r["old"] in lack:
             lack[r["old"]] -= r["n"]
     placed = []
@@ -98,9 +100,9 @@ def assign(nodes: DataFrame, known: DataFrame | None = None, shares: dict[str, f
         small = F.when(u < edge, s) if small is None else small.when(u < edge, s)
     small = small.otherwise(max(rest, key=lambda k: (rest[k], k)))
     big = sizes.sparkSession.createDataFrame(placed, "component string, placed string")
-    split = sizes.join(F.broadcast(big), "component", "left").select("component", F.coalesce("old", "placed", small).alias("split"))
+    split = sizes.join(F.broadcast(big), "component", "left").select("component", F.coalesce("old", "placed", small).alias("split"), "records")
     split = materialize(split, "component-splits")
-    return rec.join(split, "component").select("article_id", "component", "split"), comp.join(split, "component").select("node", "component", "split")
+    return rec.join(split, "component").select("article_id", "component", "split"), comp.join(split, "component").select("node", "component", "split", "records")
 
 
 class ComponentTable:
@@ -118,9 +120,9 @@ class ComponentTable:
         return max(found, default=0)
 
     def read(self) -> DataFrame | None:
-        """(node, component, split) of the last version, null before the first."""
+        """(node, component, split, records) of the last version, null before the first. records: of the component, in all runs."""
         v = self.version()
-        return self.spark.read.schema("node string, component string, split string").parquet(f"{self.path}/v{v}") if v else None
+        return self.spark.read.schema("node string, component string, split string, records long").parquet(f"{self.path}/v{v}") if v else None
 
     def run(self, nodes: DataFrame, shares: dict[str, float] = SHARES) -> DataFrame:
         rec, table = assign(nodes, self.read(), shares)

@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 import pytest
 from hypothesis import given, settings
@@ -44,7 +45,8 @@ def test_splits(spark):
         for k in keys:
             x, y = find(keys[0]), find(k)
             parent[max(x, y)] = min(x, y)
-    got = {q["article_id"]: (q["component"], q["split"]) for q in splits.ComponentTable(spark).run(nodes).collect()}
+    table = splits.ComponentTable(spark)
+    got = {q["article_id"]: (q["component"], q["split"]) for q in table.run(nodes).collect()}
     assert len(got) == len(rows)
     by = {}
     for i, s, a in rows:
@@ -52,7 +54,7 @@ def test_splits(spark):
         assert got[i][0] == find(keys[0])
         by.setdefault(got[i][0], set()).add(got[i][1])
     assert all(len(v) == 1 for v in by.values())
-    pairs = {tuple(x) for x in splits.linked_sources(nodes).collect()}
+    pairs = {tuple(x) for x in splits.linked_sources(table.read()).collect()}
     names = sorted({s for _, s, _ in rows if s})
     assert pairs == {(x, y) for x in names for y in names if x < y and find(f"s:{x}") == find(f"s:{y}")} and ("a", "z") in pairs
 
@@ -69,7 +71,26 @@ def test_merges_keep_or_quarantine(spark):
 
 def test_empty_splits(spark):
     n = splits.record_nodes(spark.createDataFrame([], SCHEMA), ())
-    assert splits.ComponentTable(spark).run(n).count() == 0 and splits.linked_sources(n).count() == 0
+    table = splits.ComponentTable(spark)
+    assert table.read() is None and table.run(n).count() == 0 and splits.linked_sources(table.read()).count() == 0
+
+
+def test_increments_give_the_components_of_all(spark):
+    """A table reopened for each increment ends with the components that one run over everything finds."""
+    r = random.Random(9)
+    rows = [(i, r.choice(["a", "b", "c", "d", "e", "f", None]), [f"Ana Ruiz{chr(97 + r.randrange(26))}"] if r.random() < 0.2 else None) for i in range(60)]
+    path = splits.ComponentTable(spark).path
+    given = {}
+    for k in range(0, 60, 20):
+        t = splits.ComponentTable(spark, path)
+        got = {x["article_id"]: x["split"] for x in t.run(splits.record_nodes(spark.createDataFrame(rows[k : k + 20], SCHEMA), ())).collect()}
+        assert len(got) == 20 and t.version() == k // 20 + 1
+        given |= got
+    whole = splits.components_of(splits.record_nodes(spark.createDataFrame(rows, SCHEMA), ()))
+    assert {(x["node"], x["component"]) for x in splits.ComponentTable(spark, path).read().collect()} == {tuple(x) for x in whole.collect()}
+    # records of one source keep their split from increment to increment, unless a merge of different ones holds them back
+    for s in "abcdef":
+        assert len({given[i] for i, x, _ in rows if x == s} - {"quarantine"}) <= 1
 
 
 @settings(max_examples=60, deadline=None)
@@ -84,6 +105,49 @@ def test_pieces_cover_and_fit(text):
         assert spans == []
 
 
+def test_the_overlap_must_be_less_than_the_limit():
+    for overlap in (300, 301, -1):
+        with pytest.raises(ValueError):
+            pieces.cut("x" * 1000, limit=300, overlap=overlap)
+    assert pieces.cut("x" * 1000, limit=300, overlap=299)[-1][1] == 1000
+
+
+def test_time_grows_with_the_text():
+    import time
+
+    took = []
+    for n in (2000, 16000):
+        text = "".join(f"Frase {k % 97} de la junta {k % 13}. " for k in range(n))
+        began = time.process_time()
+        pieces.cut(text)
+        took.append(time.process_time() - began)
+    assert took[1] < 24 * took[0]
+
+
+def test_cohesion_and_depths_against_plain_sums():
+    r = random.Random(4)
+    text = " ".join(f"{' '.join(r.choice(['puerto', 'riego', 'mercado', 'camino']) for _ in range(r.randrange(1, 6)))}." for _ in range(60))
+    ends = pieces._ends(text)
+    sims = pieces._cohesion(text, ends, 3)
+    cuts = [0, *(e for e, _ in ends), len(text)]
+    sents = [text[a:b].replace(".", "").split() for a, b in zip(cuts, cuts[1:])]
+    for i in range(len(ends)):
+        a, b = (Counter(w for s in x for w in s) for x in (sents[max(0, i - 2) : i + 1], sents[i + 1 : i + 4]))
+        norm = (sum(v * v for v in a.values()) * sum(v * v for v in b.values())) ** 0.5
+        assert abs(sims[i] - (sum(a[w] * b[w] for w in a) / norm if norm else 0)) < 1e-12
+    depth = pieces._depths(sims)
+    for i, s in enumerate(sims):
+        total = 0
+        for side in (sims[:i][::-1], sims[i + 1 :]):
+            peak = s
+            for x in side:
+                if x < peak:
+                    break
+                peak = x
+            total += peak - s
+        assert abs(depth[i] - total) < 1e-12
+
+
 def test_natural_cuts(spark):
     text = "\n".join(" ".join(f"La junta {k} habla del {w} con el {w} y el {w} otra vez." for k in range(8)) for w in ("puerto", "riego", "mercado", "camino", "censo", "archivo", "molino", "faro", "huerto", "teatro"))
     spans = pieces.cut(text)
