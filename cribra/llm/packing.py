@@ -158,9 +158,9 @@ class _Index:
         return out
 
 
-def _pack(pdf: pd.DataFrame, capacity: int) -> pd.DataFrame:
+def _pack(pdf: pd.DataFrame, capacity: int, measure: bool) -> pd.DataFrame:
     """box of each item of one shard; shared: share of an item's terms that the seed of its box holds, other: that the seed of
-    another box holds, for comparison. Both null for seeds."""
+    another box holds, for comparison; both only if they are to be measured, and not for seeds."""
     pdf = pdf.sort_values(["tokens", "doc_id", "part"], ascending=[False, True, True], kind="stable").reset_index(drop=True)
     size, n = pdf["tokens"].to_numpy(), len(pdf)
     terms = [np.frombuffer(t, np.int32) for t in pdf["terms"]]
@@ -202,7 +202,7 @@ def _pack(pdf: pd.DataFrame, capacity: int) -> pd.DataFrame:
                 room -= s
     shared, other = np.full(n, np.nan), np.full(n, np.nan)
     held = [set(terms[s].tolist()) for s in seeds]
-    for i in range(n):
+    for i in range(n) if measure else ():
         if i != seeds[box[i]] and len(terms[i]):
             mine = terms[i].tolist()
             shared[i] = sum(t in held[box[i]] for t in mine) / len(mine)
@@ -232,16 +232,16 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = DEFAULT_VO
     Every item is in one container, a string, and no container holds more than capacity tokens, but for a single code
     point that alone exceeds it.
     """
-    return packed(docs, capacity, vocabulary).select("doc_id", "part", "start", "n_chars", "tokens", "container")
+    return packed(docs, capacity, vocabulary, False).select("doc_id", "part", "start", "n_chars", "tokens", "container")
 
 
-def packed(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = DEFAULT_VOCABULARY) -> DataFrame:
+def packed(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = DEFAULT_VOCABULARY, measure: bool = True) -> DataFrame:
     """pack with shared and other, see _pack."""
     it = materialize(items(docs, capacity, vocabulary), "items")
     none = F.lit(None).cast("double")
     full = it.where(F.col("tokens") >= capacity).select("doc_id", "part", "start", "n_chars", "tokens", F.concat_ws("-", F.lit("f"), "doc_id", "part").alias("container"), none.alias("shared"), none.alias("other"))
     rest = _sharded(it.where(F.col("tokens") < capacity))
-    out = rest.groupBy("shard", "piece").applyInPandas(lambda p: _pack(p, capacity), "doc_id long, part int, start int, n_chars int, tokens int, shard int, piece int, box int, shared double, other double")
+    out = rest.groupBy("shard", "piece").applyInPandas(lambda p: _pack(p, capacity, measure), "doc_id long, part int, start int, n_chars int, tokens int, shard int, piece int, box int, shared double, other double")
     nan = lambda c: F.when(~F.isnan(c), F.col(c)).alias(c)
     return full.union(out.select("doc_id", "part", "start", "n_chars", "tokens", F.concat_ws("-", F.lit("s"), "shard", "piece", "box").alias("container"), nan("shared"), nan("other")))
 
