@@ -30,7 +30,7 @@ ROWS_PER_BAND = 4
 KEYS_PER_BUCKET, MOST_BUCKETS = 65_536, 4096
 #: Segments of a level that are merged into one of the next.
 FAN = 8
-KEYS = "band long, values array<long>, sign binary, at timestamp, id long"
+KEYS = "band long, values array<long>, sign binary, at long, id long"
 _SEGMENT = re.compile(r"^seg-(\d+)-(\d+)-(\d+)$")
 
 
@@ -44,7 +44,7 @@ def record_keys(df: DataFrame) -> DataFrame:
 
     A record whose time can't be read comes last. Null or blank urls, and hashes that say nothing, are no keys.
     """
-    at = F.coalesce(instant(F.col("scraped_at")), F.lit("9999-01-01").cast("timestamp"))
+    at = F.unix_micros(F.coalesce(instant(F.col("scraped_at")), F.lit("9999-01-01").cast("timestamp")))  # as a number, for any year
     df = df.select(F.col("scrape_id").alias("id"), at.alias("at"), "url", content_key(F.col("content_hash")).alias("content"))
     both = F.array(F.struct(F.lit(0).alias("kind"), F.col("page").alias("key")), F.struct(F.lit(1).alias("kind"), F.col("content").alias("key")))
     df = with_page(df, F.col("url"), "page").select("id", "at", F.explode(both).alias("k")).where("k.key IS NOT NULL")
@@ -197,9 +197,9 @@ def repeats(df: DataFrame, path: str | None = None) -> DataFrame:
     """
     spark = df.sparkSession
     keyed = scratch_path(spark, "keys-by-day")
-    keys = record_keys(df).withColumn("day", F.date_format("at", "yyyyMMdd"))
+    keys = record_keys(df).withColumn("day", F.date_format(F.timestamp_micros("at"), "yyyyMMdd"))
     keys.repartition("day").write.mode("overwrite").partitionBy("day").parquet(keyed)
-    schema = "id long, at timestamp, band long, values array<long>, sign binary"
+    schema = "id long, at long, band long, values array<long>, sign binary"
     size = {r["day"]: r["count"] for r in spark.read.schema(schema + ", day string").parquet(keyed).groupBy("day").count().collect()}  # a row a day
     history, out = History(spark, path), scratch_path(spark, "repeats")
     for day in sorted(size):

@@ -334,12 +334,12 @@ def match(stream: list[tuple[int, int, int]], places: dict[int, dict[int, int]])
 PARTS = "kind int, article_id long, site string, furniture array<int>, body string, stream binary, zone int, piece long, place int, h long, n long"
 
 
-def _align(batches: Iterator[pd.DataFrame], sets: dict | None) -> Iterator[pd.DataFrame]:
-    """Rows of kind 0: pages without the lines that have a token; of kind 1: the expressions of this task's pages by site."""
+def _align(batches: Iterator[pd.DataFrame], sets: dict[str, tuple[frozenset, frozenset]], number: int) -> Iterator[pd.DataFrame]:
+    """Rows of kind 0: pages without the lines that have a token; of kind 1: the expressions of these pages by site. number tells
+    the parts of one site's pages from each other."""
     info, none, held = Lines(), (frozenset(), frozenset()), 0
     made: dict[tuple[str, int], Expression] = {}
-    part = TaskContext.get()
-    piece = (part.partitionId() << 32) if part else 0
+    piece = number << 32
 
     def expressions() -> pd.DataFrame:
         rows = [(1, None, site, None, None, None, zone, piece, place, t, n) for (site, zone), e in made.items() for place, g in enumerate(e.groups) for t, n in g.items()]
@@ -347,8 +347,8 @@ def _align(batches: Iterator[pd.DataFrame], sets: dict | None) -> Iterator[pd.Da
 
     for pdf in batches:
         rows = []
-        for a, site, text, *own in zip(pdf["article_id"], pdf["site"], pdf["text"], *([pdf["hs"], pdf["hd"]] if sets is None else [])):
-            tokens, heads = sets.get(site, none) if sets is not None else own
+        for a, site, text in zip(pdf["article_id"], pdf["site"], pdf["text"]):
+            tokens, heads = sets.get(site, none)
             lines = (text or "").split("\n")
             marks = label_lines(lines, info, tokens, heads)
             at = [k for k, m in enumerate(marks) if m]
@@ -407,17 +407,17 @@ def align_pages(pages: DataFrame, tokens: DataFrame) -> tuple[DataFrame, DataFra
     spark = pages.sparkSession
     if table_bytes(tokens) <= SEND_BYTES:
         sent = spark.sparkContext.broadcast(_sets(tokens.toLocalIterator()))
-        out = pages.select("article_id", "site", "text").mapInPandas(lambda b: _align(b, sent.value), PARTS)
+        out = pages.select("article_id", "site", "text").mapInPandas(lambda b: _align(b, sent.value, TaskContext.get().partitionId()), PARTS)
     else:
         # a site's pages meet its tokens by (site, salt); a large site has as many salts as it needs
         size = pages.groupBy("site").agg(F.ceil(F.count("*") / SITE_PAGES).cast("int").alias("salts"))
         size = broadcast_if_small(materialize(size, "site-sizes"))
         left = pages.select("article_id", "site", "text").join(size, "site").withColumn("salt", F.pmod(F.xxhash64("article_id"), F.col("salts")).cast("int"))
-        right = tokens.join(size, "site").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+        right = tokens.join(size.select(F.col("site").alias("site_"), F.col("salts").alias("ways")), F.col("site") == F.col("site_")).select("site", "h", "head", F.explode(F.sequence(F.lit(0), F.col("ways") - 1)).alias("salt"))
 
         def one(p: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
             own = _sets(t.to_dict("records"))
-            return pd.concat(list(_align(iter([p]), own)), ignore_index=True) if len(p) else pd.DataFrame(columns=[c.split()[0] for c in PARTS.split(", ")])
+            return pd.concat(list(_align(iter([p]), own, int(p["salt"].iloc[0]))), ignore_index=True) if len(p) else pd.DataFrame(columns=[c.split()[0] for c in PARTS.split(", ")])
 
         out = left.groupBy("site", "salt").cogroup(right.groupBy("site", "salt")).applyInPandas(one, PARTS)
     out = materialize(out, "pages-aligned")

@@ -50,7 +50,39 @@ def test_packing(spark, tok):
     assert max(box.values()) <= 128 and set(doc) == set(range(150)) and sum(box.values()) / (128 * len(box)) > 0.95
     for i, t in rows[:150]:
         assert "".join(t[s : s + n] for _, s, n in sorted(doc[i])) == t and (len(doc[i]) == 1) == (tok.count(t) <= 128)
-    assert packing.pack(df.where("doc_id >= 900"), 128).count() == 0
+    assert packing.pack(df.where("doc_id >= 900"), 128).count() == 0 and packing.pack(df.limit(0), 128).count() == 0
+
+
+def test_shards_bring_related_items_together(spark, monkeypatch):
+    """Items of twenty topics, many more than a shard holds: containers hold one topic far more often than by chance."""
+    r = random.Random(7)
+    topics = [[f"t{k}w{j}".translate(str.maketrans("0123456789", "abcdefghij")) for j in range(12)] for k in range(20)]
+    rows = [(i, " ".join(r.choice(topics[i % 20]) if r.random() < 0.5 else r.choice(["de", "la", "en", "con", "por"]) for _ in range(r.randrange(10, 40)))) for i in range(800)]
+    monkeypatch.setattr(packing, "SHARD_ITEMS", 200)
+    out = packing.packed(spark.createDataFrame(rows, "doc_id long, text string"), 256)
+    rep = packing.report(out, 256).first()
+    assert rep["items"] == 800 and rep["fill"] > 0.9 and rep["shared"] > 1.15 * rep["other"]
+    boxes = {}
+    for x in out.collect():
+        boxes.setdefault(x["container"], []).append(x["doc_id"] % 20)
+    same = sum(b.count(k) * (b.count(k) - 1) for b in boxes.values() for k in set(b)) / sum(len(b) * (len(b) - 1) for b in boxes.values())
+    assert same > 0.2  # by chance 0.05
+
+
+def test_scores_against_plain_bm25():
+    r = random.Random(3)
+    docs = [Counter(r.choice("abcdefghijklmnop") for _ in range(r.randrange(1, 30))) for _ in range(40)]
+    terms = [np.array([ord(w) for w in d], np.int32) for d in docs]
+    index = packing._Index(terms, [np.array(list(d.values()), np.int32) for d in docs])
+    mean = sum(sum(d.values()) for d in docs) / len(docs)
+    df = Counter(w for d in docs for w in d)
+    used = np.zeros(len(docs), bool)
+    for seed in range(len(docs)):
+        want = [sum(math.log(1 + (40 - df[w] + 0.5) / (df[w] + 0.5)) * d[w] * (packing.K1 + 1) / (d[w] + packing.K1 * (1 - packing.B + packing.B * sum(d.values()) / mean)) for w in docs[seed] if w in d) for d in docs]
+        got = index.score(seed)
+        assert np.allclose(got[~used], np.array(want)[~used], atol=1e-4)
+        used[seed] = True
+        index.keep(~used)
 
 
 def test_mixing(spark):
@@ -108,6 +140,36 @@ def test_normal_form():
     assert "".join(chr(codes[e]) for e in ends) == "bc" and np.count_nonzero(codes) == 3
 
 
+def test_ends_of_long_lines_are_those_of_whole_texts(monkeypatch):
+    r = random.Random(6)
+    texts = ["".join(r.choice(["palabra ", "Ana ", "x" * 30, "1.5 ", "\n", "a: ", ", ", ". ", "https://h.example/" + "y" * 50 + " "]) for _ in range(r.randrange(1, 60))) for _ in range(200)] + ["z" * 5000, "Temas: " + "uno, " * 400, "\n" * 900 + "a"]
+    texts = [t for t in texts if t.strip()]
+    codes, ends = truncation.normal_codes(texts)
+    want = [h[ends] for h in truncation._hashes(codes)]
+    monkeypatch.setattr(truncation, "NEAR", 40)
+    assert all((a == b).all() for a, b in zip(truncation._ends(texts), want))
+
+
+def test_marks_wherever_they_begin():
+    import re
+
+    at = re.compile(truncation.MARKS, re.ASCII)
+    for tail in ("...", "…", "[...]", "[ … ]", "[", "&", "&amp", "&#8230", "\\u00e", "<a href='" + "x" * 500, "</p", "%C3%", "�", "(", "«", "[" + " " * 400 + "..."):
+        assert truncation._mark(at, "Una frase y " + tail) is not None, tail
+    for tail in ("fin.", "fin", "<b>fin</b>", "100%.", "AT&T.", "[nota]", "x" * 700):
+        assert truncation._mark(at, "Una frase y " + tail) is None, tail
+
+
+def test_small_languages_lean_on_all():
+    """A language of few texts takes nearly the threshold of all, one of many its own."""
+    from pyspark.sql import SparkSession
+
+    spark = SparkSession.getActiveSession()
+    rows = [("es", i, -1.0 if i % 10 == 0 else 1.0) for i in range(5000)] + [("pt", 10_000 + i, 0.2 if i % 2 else 1.0) for i in range(6)]
+    got = {r["language"]: r["threshold"] for r in truncation.thresholds(spark.createDataFrame(rows, "language string, same long, odds double")).collect()}
+    assert abs(got["es"] - truncation.DEFAULT) < 1e-9 and abs(got["pt"] - got["es"]) < 0.25
+
+
 def odds_by_counting(texts):
     """The odds of each of the distinct texts, whose normal form is the text itself, counted in dictionaries."""
     ends, inside, out = Counter(), Counter(), {}

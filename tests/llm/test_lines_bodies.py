@@ -38,13 +38,59 @@ def test_wrapper_lines(spark):
     assert "Lo más visto" not in b[0] and b[900] == "" and len(b) == len(rows)
 
 
-def test_wrappers_by_join_equal_those_sent(spark, monkeypatch):
-    df = spark.createDataFrame(pages(12)[0], NEWS)
+def test_wrappers_met_by_site_equal_those_sent(spark, monkeypatch):
+    df = spark.createDataFrame(pages(12)[0] + [(700, "Sin sitio\nLo más visto", None, None), (701, "Inicio > Nación", "https://otro.example/1", "otro")], NEWS)
     p = wrappers.pages_of(df)
-    w = wrappers.learn_wrappers(p)
-    a = sorted(map(tuple, wrappers.split_body(p, w).select("article_id", F.array_join("furniture", ",")).collect()))
+    w = wrappers.learn_tokens(p)
+    lines = lambda: sorted(map(tuple, wrappers.split_body(p, w).select("article_id", F.array_join("furniture", ","), "body").collect()))
+    a = lines()
     monkeypatch.setattr(wrappers, "SEND_BYTES", -1)
-    assert sorted(map(tuple, wrappers.split_body(p, w).select("article_id", F.array_join("furniture", ",")).collect())) == a
+    monkeypatch.setattr(wrappers, "SITE_PAGES", 5)
+    assert lines() == a and len(a) == 14
+
+
+def test_a_line_is_template_only_where_the_template_has_it(spark):
+    """The closing line of every page stands between the paragraphs of one page: there it is body."""
+    rows, truth = pages(60)
+    r = random.Random(5)
+    odd = [(950, "\n".join(["Inicio > Nación", prose(r), "Lo más visto", prose(r), prose(r), "© 2024 El Sitio. Todos los derechos reservados."]), "https://www.sitio.example/odd", "sitio")]
+    got = {tuple(x) for x in news.wrapper_lines(spark.createDataFrame(rows + odd, NEWS)).collect()}
+    assert got == truth | {(950, 0), (950, 5)}
+    body = {x["article_id"]: x["body"] for x in news.bodies(spark.createDataFrame(rows + odd, NEWS)).collect()}[950]
+    assert body.split("\n")[1] == "Lo más visto" and len(body.split("\n")) == 4
+
+
+def test_expressions():
+    e = wrappers.Expression()
+    for page in ([1, 2, 3], [1, 3], [1, 4, 3], [2, 2, 3]):
+        e.absorb(page)
+    assert [sorted(g) for g in e.groups] == [[1], [4], [2], [3]] or [sorted(g) for g in e.groups] == [[1], [2], [4], [3]]
+    e.absorb([3, 1])  # against the order: what lies between becomes one group
+    assert [sorted(g) for g in e.groups] == [[1, 2, 3, 4]]
+    assert e.groups[0] == {1: 4, 2: 2, 3: 5, 4: 1}
+    f = wrappers.Expression()
+    f.absorb([5, 1])
+    f.merge(e.groups)
+    assert [sorted(g) for g in f.groups] == [[5], [1, 2, 3, 4]]
+
+
+@pytest.mark.parametrize("pages_", [[[1, 2, 3], [2, 3, 1], [4]], [[1, 2], [3, 4], [2, 5, 3], [4, 6]], [[7, 8, 9], [9, 10], [8, 11, 9], [10, 12], [12, 7]]])
+def test_an_expression_takes_every_page_it_was_inferred_from(pages_):
+    whole, left, right = wrappers.Expression(), wrappers.Expression(), wrappers.Expression()
+    for k, p in enumerate(pages_):
+        whole.absorb(p)
+        (left if k % 2 else right).absorb(p)
+    left.merge(right.groups)
+    for e in (whole, left):
+        places = {wrappers.BEFORE: {t: i for i, g in enumerate(e.groups) for t in g}}
+        for p in pages_:
+            assert all(wrappers.match([(wrappers.BEFORE, wrappers.BEFORE, t) for t in p], places))
+
+
+def test_sites(spark):
+    cases = [("https://www.eltiempo.com.co/a", "eltiempo"), ("https://a.gov.co", "a"), ("http://m.sitio.example:80/x", "sitio"), ("https://u:p@b.c.sitio.co/x", "sitio"), ("https://sitio.co.uk", "sitio"), ("HTTPS://Co.Example", "co"), ("no url", "fuente"), (None, "fuente"), ("https://localhost/x", "fuente")]
+    df = spark.createDataFrame([(u, " Fuente ") for u, _ in cases], "url string, source string")
+    assert [x[0] for x in df.select(wrappers.site_column()).collect()] == [w for _, w in cases]
 
 
 def test_empty_tables(spark):
@@ -99,6 +145,12 @@ def test_standing_lines_against_brute_force(spark):
     assert all(cleaned[i] == (None if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if (i, k) not in want)) for i, t, _, _ in rows)
 
 
-@pytest.mark.parametrize("line", ["", " \t", "\xa0", "123", "#a #b", "x" * 5000, "Etiquetas: a, b, c", "«»", "\ud83d"])
+@pytest.mark.parametrize("line", ["", " \t", "\xa0", "123", "#a #b", "x" * 5000, "Etiquetas: a, b, c", "«»", "\ud83d", "a," * 150, "," * 300, "1,2,3," * 60, "data:image/png;base64,AAAA,BBBB" + "x" * 300])
 def test_line_info_takes_anything(line):
     wrappers.line_info(line)
+
+
+def test_blocks(spark):
+    rows = [(i, "Aviso legal\nComparte\n" + f"cuerpo {chr(97 + i)}\nPie", "a") for i in range(20)]
+    got = standing_lines.blocks(spark.createDataFrame(rows, "article_id long, text string, source string")).collect()
+    assert sorted((r["forms"], r["lines"], r["docs"]) for r in got) == [(1, 20, 20), (2, 40, 20)]

@@ -38,12 +38,20 @@ def brute(rows):
     return out
 
 
-@pytest.mark.parametrize("batches", [1, 4])
-def test_repeats_against_brute_force(spark, batches):
-    rng = random.Random(batches)
+@pytest.mark.parametrize("one_task", [0, 200_000])
+def test_repeats_against_brute_force(spark, monkeypatch, one_task):
+    """Eight daily batches, each in one task or by rounds, with merges of segments and several buckets on the way."""
+    from cribra.llm import history
+    from cribra.operators import ledger
+
+    monkeypatch.setattr(history, "ONE_TASK", one_task)
+    monkeypatch.setattr(ledger, "ONE_TASK", one_task)
+    monkeypatch.setattr(history, "KEYS_PER_BUCKET", 4)
+    monkeypatch.setattr(history, "FAN", 3)
+    rng = random.Random(one_task)
     rows = [(i, rng.choice([None] + [f"h.example/{k}" for k in range(25)]), rng.choice([None, "hot", "hot"] + [f"{k:04x}" for k in range(90)]), f"2025-01-{rng.randrange(1, 9):02d}T0{rng.randrange(4)}:00:00Z") for i in range(160)]
     df = spark.createDataFrame(rows, "scrape_id long, url string, content_hash string, scraped_at string").withColumn("id", F.lit("other")).withColumn("at", F.lit(1))
-    assert {r[0] for r in repeats(df, batches).collect()} == brute(rows)
+    assert {r[0] for r in repeats(df).collect()} == brute(rows)
 
 
 def test_empty_and_incremental(spark):
@@ -55,3 +63,23 @@ def test_empty_and_incremental(spark):
     assert h.batch(spark.createDataFrame(one, df.schema)).count() == 0
     # row 3 repeats 1, so its page isn't held and 4 is accepted
     assert [r[0] for r in h.batch(spark.createDataFrame(two, df.schema)).collect()] == [3]
+
+
+def test_a_reopened_store_goes_on_and_reads_only_its_buckets(spark, monkeypatch):
+    from cribra.llm import history
+
+    monkeypatch.setattr(history, "KEYS_PER_BUCKET", 8)
+    monkeypatch.setattr(history, "FAN", 4)
+    schema = "scrape_id long, url string, content_hash string, scraped_at string"
+    path = History(spark).path
+    for day in range(1, 7):
+        rows = [(1000 * day + i, f"h.example/{day}/{i}", None, f"2025-01-{day:02d}T00:00:00Z") for i in range(60)]
+        again = [(1000 * day + 900, f"https://www.h.example/{day - 1}/7?utm_source=x", None, f"2025-01-{day:02d}T01:00:00Z")] if day > 1 else []
+        h = History(spark, path)  # a new object each time
+        assert [r[0] for r in h.batch(spark.createDataFrame(rows + again, schema)).collect()] == [r[0] for r in again]
+    h = History(spark, path)
+    assert h.batch(spark.createDataFrame([(1, "h.example/3/9", None, "2025-02-01T00:00:00Z"), (2, "h.example/new", None, "2025-02-01T00:00:00Z")], schema)).count() == 1
+    read, there = h.read
+    assert 0 < read <= 2 * len(h.segments()) < there / 2
+    # a batch that is run again, as after a failure, finds none of its own records
+    assert h.batch(spark.createDataFrame([(2, "h.example/new", None, "2025-02-01T00:00:00Z")], schema)).count() == 0
