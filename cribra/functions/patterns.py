@@ -31,9 +31,10 @@ STEPS: tuple[tuple[str, str, str, str, bool], ...] = (
     ("C11", "m", r"\n\s*(?:PORTAFOLIO|EL TIEMPO|EL ESPECTADOR|SEMANA)\s*$", "", False),
     ("C12", "s", rf"\n\s*(?:{LISTING_HEADS}).*\z", "", False),
 )
+#: Fixed forms, as STEPS.
 AFTER_AUTHORS = (("C14", "m", r"[ \t]+$", "", False), ("C15", "", r"\n{3,}", "\n\n", False))
 
-#: First path segments of pages without political news.
+#: First path segments of pages without political news. Fixed values.
 NOISE_SECTIONS = (
     "deportes", "deporte", "futbol", "liga", "entretenimiento", "farandula", "gente", "celebridades", "tecnologia", "tech",
     "gadgets", "videojuegos", "loterias", "horoscopo", "astrologia", "turismo", "viajes", "destinos", "recetas", "cocina",

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
+import io
 import logging
+import os
 import subprocess
 import time
+import traceback
 from collections.abc import Callable
 
 log = logging.getLogger(__name__)
@@ -15,18 +19,37 @@ def plan(models: list[str], seeds: list[int], skip: list[str] = ()) -> list[tupl
     return [(m, s) for s in seeds for m in models if m not in skip]
 
 
-def run_all(runs: list[tuple[str, int]], train: Callable[[str, int], dict], go_on: bool = False) -> list[dict]:
-    """Metrics of each run, with its seconds; the first failure ends the series unless go_on."""
+#: Lines of a failed run's output that are kept.
+TAIL = 20
+
+
+def run_all(runs: list[tuple[str, int]], train: Callable[[str, int], dict], go_on: bool = False, logs: str | None = None) -> list[dict]:
+    """Metrics of each run, with its seconds; the first failure ends the series unless go_on.
+
+    What a run prints or logs is kept for itself, in <logs>/<run>.log if a folder is named; a failure has its last TAIL lines.
+    """
     out = []
     for m, s in runs:
-        began = time.time()
+        began, said = time.time(), io.StringIO()
+        run = f"{m}__seed{s}"
+        handler = logging.StreamHandler(said)
+        logging.getLogger().addHandler(handler)
         try:
-            out.append({"run": f"{m}__seed{s}", "encoder_alias": m, "seed": s, **train(m, s), "train_duration_seconds": time.time() - began})
+            with contextlib.redirect_stdout(said):
+                out.append({"run": run, "encoder_alias": m, "seed": s, **train(m, s), "train_duration_seconds": time.time() - began})
         except Exception as e:  # noqa: BLE001 - the series decides
+            said.write(traceback.format_exc())
+            tail = said.getvalue().splitlines()[-TAIL:]
             log.error("run %s seed %s failed: %s", m, s, e)
-            out.append({"run": f"{m}__seed{s}", "encoder_alias": m, "seed": s, "error": str(e)})
+            out.append({"run": run, "encoder_alias": m, "seed": s, "error": str(e), "tail": tail})
             if not go_on:
                 break
+        finally:
+            logging.getLogger().removeHandler(handler)
+            if logs:
+                os.makedirs(logs, exist_ok=True)
+                with open(os.path.join(logs, f"{run}.log"), "w", encoding="utf-8") as f:
+                    f.write(said.getvalue())
     return out
 
 

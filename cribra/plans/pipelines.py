@@ -51,6 +51,23 @@ class KeywordJudge:
         return out
 
 
+class KeywordFilter:
+    """A local stand-in for the article filter: the first category one of whose words stands in a text rejects it."""
+
+    def __init__(self, words: dict[str, tuple[str, ...]]):
+        self.words = words
+
+    def __call__(self, texts: list[str]) -> list[str | None]:
+        import json
+
+        out: list[str | None] = []
+        for t in texts:
+            low = t.lower()
+            found = next((c for c, ws in self.words.items() if any(w in low for w in ws)), None)
+            out.append(json.dumps({"is_article": found is None, "category": found or "articulo", "reason": "" if found is None else "word"}))
+        return out
+
+
 def extract_articles(pages: DataFrame, known: DataFrame, least: int = 400) -> DataFrame:
     """pages(url, html, source, category, scraped_at) -> new articles with their hash, and only those.
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -190,8 +191,14 @@ def ledger_anti_join(s, d):
     return ledger.not_in_ledger(news(s, d, "article_id", "url"), table(s, d, "scraped_urls").select("url"), "url")
 
 
-@query("""WITH new AS (SELECT scrape_id, url, content_hash FROM scraped_urls QUALIFY content_hash IS NULL OR row_number() OVER (PARTITION BY content_hash ORDER BY scrape_id) = 1)
-SELECT scrape_id, url, content_hash FROM new QUALIFY url IS NULL OR row_number() OVER (PARTITION BY url ORDER BY scrape_id) = 1""")
+# a loop over the rows that share a url or a hash with others, all others being accepted
+@query("""WITH RECURSIVE shared AS (SELECT scrape_id, url, content_hash, count(url) OVER (PARTITION BY url) AS nu, count(content_hash) OVER (PARTITION BY content_hash) AS nh FROM scraped_urls),
+t AS (SELECT row_number() OVER (ORDER BY scrape_id) AS i, scrape_id, 'u' || url AS u, 'h' || content_hash AS h FROM shared WHERE nu > 1 OR nh > 1),
+r AS (SELECT 0::BIGINT AS i, []::VARCHAR[] AS seen, []::BIGINT[] AS took UNION ALL
+  SELECT t.i, CASE WHEN coalesce(list_contains(seen, u), false) OR coalesce(list_contains(seen, h), false) THEN seen ELSE list_concat(seen, list_filter([u, h], lambda x: x IS NOT NULL)) END,
+    CASE WHEN coalesce(list_contains(seen, u), false) OR coalesce(list_contains(seen, h), false) THEN took ELSE list_append(took, scrape_id) END FROM r JOIN t ON t.i = r.i + 1),
+done AS (SELECT unnest(took) AS scrape_id FROM (SELECT took FROM r ORDER BY i DESC LIMIT 1))
+SELECT scrape_id, url, content_hash FROM shared WHERE nu <= 1 AND nh <= 1 OR scrape_id IN (SELECT scrape_id FROM done)""")
 def ledger_first_wins(s, d):
     df = table(s, d, "scraped_urls").select("scrape_id", "url", "content_hash")
     return ledger.accept(df, df.limit(0), ["scrape_id"])
@@ -487,7 +494,7 @@ def politicity_softmax(s, d):
 
 
 _RUNS = "(SELECT e AS i, s AS seed, 'enc' || e || '__seed' || (42 + s) AS run, 'model-' || e AS model_name, CASE WHEN e = 2 AND s = 1 THEN NULL ELSE 60.0 * (10 + e * 7 + s) END AS train_seconds, CASE WHEN e = 0 AND s = 0 THEN NULL ELSE 0.1 + 0.01 * e + 0.001 * s END AS val_loss, 'c' || s AS git_commit FROM range(3) a(e), range(3) b(s) WHERE e < 2 OR s < 1 OR s = 1)"
-_VALUES = f"(SELECT 'enc' || i AS encoder, CAST(42 + seed AS INTEGER) AS seed, axis, CASE WHEN i = 1 AND pos = 3 THEN NULL ELSE ((i * 31 + seed * 7 + pos * 17) % 101) / 101.0::DOUBLE END AS r2, ((i * 13 + seed * 5 + pos * 29) % 97) / 970.0::DOUBLE AS mse FROM {_RUNS}, (VALUES {', '.join(f'({i}, {chr(39)}{a}{chr(39)})' for i, a in enumerate(AXES))}) x(pos, axis))"
+_VALUES = f"(SELECT 'enc' || i AS encoder, CAST(42 + seed AS INTEGER) AS seed, axis, CASE WHEN i = 1 AND pos = 3 THEN NULL WHEN i = 0 AND seed = 1 AND pos IN (5, 6) OR i = 2 AND pos = 6 THEN 'NaN'::DOUBLE ELSE ((i * 31 + seed * 7 + pos * 17) % 101) / 101.0::DOUBLE END AS r2, ((i * 13 + seed * 5 + pos * 29) % 97) / 970.0::DOUBLE AS mse FROM {_RUNS}, (VALUES {', '.join(f'({i}, {chr(39)}{a}{chr(39)})' for i, a in enumerate(AXES))}) x(pos, axis))"
 
 
 def _runs(s):
@@ -499,14 +506,15 @@ def _runs(s):
 
 
 def _values(s):
-    """Metric maps with one value under val/ alone and one missing, resolved to long rows."""
+    """Metric maps with one value under val/ alone, one missing and some NaN, resolved to long rows."""
     r = _runs(s)
     r2 = lambda p: ((F.col("i") * 31 + F.col("s") * 7 + p * 17) % 101) / 101.0
     mse = lambda p: ((F.col("i") * 13 + F.col("s") * 5 + p * 29) % 97) / 970.0
+    nan = lambda p: F.when((F.col("i") == 0) & (F.col("s") == 1) & F.lit(p in (5, 6)) | (F.col("i") == 2) & F.lit(p == 6), float("nan")).otherwise(r2(p))
     entries = []
     for p, a in enumerate(AXES):
         where = "val" if p == 2 else "test"
-        entries += [F.struct(F.lit(f"{where}/r2_{a}").alias("k"), F.when((F.col("i") == 1) & (F.lit(p) == 3), None).otherwise(r2(p)).alias("v")), F.struct(F.lit(f"test/mse_{a}").alias("k"), mse(p).alias("v"))]
+        entries += [F.struct(F.lit(f"{where}/r2_{a}").alias("k"), F.when((F.col("i") == 1) & (F.lit(p) == 3), None).otherwise(nan(p)).alias("v")), F.struct(F.lit(f"test/mse_{a}").alias("k"), mse(p).alias("v"))]
     m = r.withColumn("m", F.map_from_entries(F.array(*entries))).select("encoder", "seed", "m", F.explode(F.array(*map(F.lit, AXES))).alias("axis"))
     return m.select("encoder", "seed", "axis", evaluation.metric(F.col("m"), "r2", F.col("axis")).alias("r2"), evaluation.metric(F.col("m"), "mse", F.col("axis")).alias("mse"))
 
@@ -527,8 +535,9 @@ def encoder_summary(s, d):
     return evaluation.encoder_summary(_runs(s))
 
 
-_AXES = f"(SELECT encoder, axis, round(avg(r2), 6) AS r2_mean, round(coalesce(stddev_samp(r2), 0), 6) AS r2_std, round(avg(mse), 6) AS mse_mean, round(coalesce(stddev_samp(mse), 0), 6) AS mse_std FROM {_VALUES} GROUP BY encoder, axis)"
-_RANKED = f"(SELECT *, CAST(row_number() OVER (PARTITION BY axis ORDER BY r2_mean DESC NULLS LAST, encoder) AS INTEGER) AS rank FROM {_AXES})"
+_AXES = f"(SELECT encoder, axis, round(avg(r2), 6) AS r2_mean, CASE WHEN bool_or(isnan(r2)) THEN CASE WHEN count(r2) > 1 THEN 'NaN'::DOUBLE ELSE 0 END ELSE round(coalesce(stddev_samp(CASE WHEN NOT isnan(r2) THEN r2 END), 0), 6) END AS r2_std, round(avg(mse), 6) AS mse_mean, round(coalesce(stddev_samp(mse), 0), 6) AS mse_std FROM {_VALUES} GROUP BY encoder, axis)"
+_POS = "(VALUES " + ", ".join(f"({i}, '{a}')" for i, a in enumerate(AXES)) + ") x(pos, ax)"
+_RANKED = f"(SELECT *, CAST(row_number() OVER (PARTITION BY axis ORDER BY coalesce(isnan(r2_mean), true), r2_mean DESC, encoder) AS INTEGER) AS rank FROM {_AXES})"
 
 
 @query(f"SELECT * FROM {_RANKED}")
@@ -536,12 +545,12 @@ def axis_rank(s, d):
     return evaluation.ranks(evaluation.axis_summary(_values(s)))
 
 
-@query(f"SELECT axis, arg_min(encoder, (-coalesce(r2_mean, -1e9), encoder)) AS best_r2, arg_min(encoder, (coalesce(mse_mean, 1e9), encoder)) AS best_mse FROM {_AXES} GROUP BY axis")
+@query(f"SELECT axis, arg_min(encoder, (CASE WHEN coalesce(isnan(r2_mean), true) THEN 1e9 ELSE -r2_mean END, encoder)) AS best_r2, arg_min(encoder, (coalesce(mse_mean, 1e9), encoder)) AS best_mse FROM {_AXES} GROUP BY axis")
 def axis_winner(s, d):
     return evaluation.winners(evaluation.axis_summary(_values(s)))
 
 
-@query(f"SELECT encoder, CAST(count(*) FILTER (WHERE rank = 1) AS BIGINT) AS wins, round(avg(rank), 6) AS mean_rank, round(avg(r2_mean), 6) AS macro_r2, round(avg(mse_mean), 6) AS macro_mse FROM {_RANKED} GROUP BY encoder")
+@query(f"SELECT encoder, CAST(count(*) FILTER (WHERE rank = 1) AS BIGINT) AS wins, round(avg(rank), 6) AS mean_rank, string_agg(CAST(rank AS VARCHAR), ',' ORDER BY pos) AS ranks, round(avg(r2_mean) FILTER (WHERE NOT isnan(r2_mean)), 6) AS macro_r2, round(avg(mse_mean), 6) AS macro_mse FROM {_RANKED} JOIN {_POS} ON axis = ax GROUP BY encoder")
 def mean_rank(s, d):
     return evaluation.mean_ranks(evaluation.ranks(evaluation.axis_summary(_values(s))))
 
@@ -556,15 +565,15 @@ def mean_std_format(s, d):
     return evaluation.axis_summary(_values(s)).select("encoder", "axis", evaluation.format_mean_std(F.col("mse_mean"), F.col("mse_std")).alias("shown"))
 
 
-@query(f"SELECT encoder, array_to_string(list_transform(list_concat(v, v[1:1]), lambda x: printf('%.6f', x)), ',') AS polygon FROM (SELECT encoder, list(coalesce(r2_mean, 0.0) ORDER BY pos) AS v FROM {_AXES} JOIN (VALUES {', '.join(f'({i}, {chr(39)}{a}{chr(39)})' for i, a in enumerate(AXES))}) x(pos, ax) ON axis = ax GROUP BY encoder)")
+@query(f"SELECT encoder, array_to_string(list_transform(list_concat(v, v[1:1]), lambda x: printf('%.6f', x)), ',') AS polygon FROM (SELECT encoder, list(CASE WHEN isnan(r2_mean) THEN 0.0 ELSE coalesce(r2_mean, 0.0) END ORDER BY pos) AS v FROM {_AXES} JOIN {_POS} ON axis = ax GROUP BY encoder)")
 def radar_polygon(s, d):
-    """One closed polygon per encoder in the order of axes, a missing axis at 0."""
-    m = evaluation.axis_summary(_values(s)).groupBy("encoder").agg(F.map_from_entries(F.collect_list(F.struct("axis", F.coalesce("r2_mean", F.lit(0.0))))).alias("m"))
+    """One closed polygon per encoder in the order of axes, a missing axis or one without a number at 0."""
+    m = evaluation.axis_summary(_values(s)).groupBy("encoder").agg(F.map_from_entries(F.collect_list(F.struct("axis", F.nanvl(F.coalesce("r2_mean", F.lit(0.0)), F.lit(0.0))))).alias("m"))
     v = F.array(*[F.coalesce(F.try_element_at("m", F.lit(a)), F.lit(0.0)) for a in AXES])
     return m.select("encoder", F.array_join(F.transform(evaluation.polygon(v), lambda x: F.format_string("%.6f", x)), ",").alias("polygon"))
 
 
-@query(f"SELECT round(lo - (hi - lo) * 0.1, 6) AS low, round(hi + (hi - lo) * 0.1, 6) AS high FROM (SELECT least(min(r2_mean), 0.0) AS lo, greatest(max(r2_mean), 1.0) AS hi FROM {_AXES})")
+@query(f"SELECT round(lo - (hi - lo) * 0.1, 6) AS low, round(hi + (hi - lo) * 0.1, 6) AS high FROM (SELECT least(min(r2_mean), 0.0) AS lo, greatest(max(r2_mean), 1.0) AS hi FROM {_AXES} WHERE NOT isnan(r2_mean))")
 def radar_limits(s, d):
     return evaluation.chart_limits(evaluation.axis_summary(_values(s)), "r2_mean")
 
@@ -626,3 +635,187 @@ def ml_multi_axis_fit(s, d):
     pred = models.predict(models.fit(f.where("split = 'train'"), reg=0.1), f.where("split = 'test'"))
     long = pred.select(F.explode(F.array(*[F.struct(F.lit(a).alias("axis"), F.col(a).cast("double").alias("y"), F.col(f"p_{a}").alias("p")) for a in AXES])).alias("x")).select("x.*")
     return evaluation.regression_metrics(long, ["axis"], "y", "p")
+
+
+# ---- jobs ----------------------------------------------------------------------------------------------------------
+
+_HOST = r"lower(regexp_extract({}, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^@/?#]*@)?([^:/?#]*)', 1))"
+_FORBIDDEN = rf"""(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^#]*)', 1) LIKE '/opinion%' AND regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^#]*)', 1) NOT LIKE '/opinion/el-%'
+AND {_HOST.format('url')} IN (SELECT {_HOST.format('url')} FROM sources WHERE mode = 'sitemap'))"""
+
+
+def _rules(s, d):
+    """Rules by host: sources in sitemap mode forbid /opinion but for some of it; the catalogue holds no rules of its own."""
+    t = table(s, d, "sources").where("mode = 'sitemap'").select(urls.url_host(F.col("url")).alias("host")).where("host <> ''").distinct()
+    return t.select("host", F.array(F.lit("/opinion")).alias("disallow"), F.array(F.lit("/opinion/el-")).alias("allow"))
+
+
+@query(f"SELECT scrape_id, url FROM scraped_urls WHERE url IS NOT NULL AND NOT coalesce({_FORBIDDEN}, false)")
+def robots_filter(s, d):
+    from cribra.plans import jobs
+
+    return jobs.robots_allowed(table(s, d, "scraped_urls").where("url IS NOT NULL").select("scrape_id", "url"), _rules(s, d))
+
+
+@query(f"""WITH RECURSIVE cand AS (SELECT source, url, row_number() OVER (PARTITION BY source ORDER BY md5('42:' || url), url) AS pos FROM (SELECT DISTINCT source, url FROM scraped_urls WHERE url <> '') QUALIFY pos <= 40),
+art AS (SELECT url, min(content_hash) AS hash FROM scraped_urls WHERE content_hash IS NOT NULL GROUP BY url),
+t AS (SELECT row_number() OVER (ORDER BY source NULLS FIRST, pos) AS i, source, pos, url, hash FROM cand JOIN art USING (url) WHERE NOT coalesce({_FORBIDDEN}, false) AND url NOT IN (SELECT url FROM labeled_news WHERE category = 'nacional' AND url IS NOT NULL)),
+r AS (SELECT 0::BIGINT AS i, NULL::VARCHAR AS source, 0::BIGINT AS n, false AS ok, []::VARCHAR[] AS seen UNION ALL
+  SELECT i, source, n + CASE WHEN ok THEN 1 ELSE 0 END, ok, CASE WHEN ok THEN list_concat(seen, [u, h]) ELSE seen END FROM
+  (SELECT t.i, t.source, CASE WHEN t.source IS NOT DISTINCT FROM r.source THEN r.n ELSE 0 END AS n, seen, 'u' || url AS u, 'h' || hash AS h, (t.source IS DISTINCT FROM r.source OR r.n < 20) AND NOT list_contains(seen, 'u' || url) AND NOT list_contains(seen, 'h' || hash) AS ok FROM r JOIN t ON t.i = r.i + 1))
+SELECT t.source, CAST(t.pos AS INTEGER) AS pos, t.url, t.hash AS content_hash FROM r JOIN t USING (i) WHERE r.ok""")
+def scrape_job(s, d):
+    """At most 20 new articles of each source out of 40 candidates; articles labelled as national are known already."""
+    from cribra.plans import jobs
+
+    u = table(s, d, "scraped_urls").select("source", "url", "content_hash")
+    known = news(s, d, "url", "category").where("category = 'nacional'").select("url", F.lit(None).cast("string").alias("content_hash"))
+    return jobs.scrape(u, known, _rules(s, d), u, 20)
+
+
+_WORDS = {a: (f"{a[:5]}", w) for a, w in zip(AXES, ("voto", "acuerdo", "norma", "carta", "reforma", "consejo", "tarifa", "ley"))}
+
+
+def _times(w: str, c: str = "low") -> str:
+    return f"(length({c}) - length(replace({c}, '{w}', ''))) / {len(w)}"
+
+
+@query(f"""SELECT coalesce(text, '') AS text, coalesce(title, '') AS title, coalesce(source, '') AS source, coalesce(category, '') AS category, coalesce(url, '') AS url, date,
+CAST(contains(low, 'congreso') OR contains(low, 'ley') OR contains(low, 'gobierno') OR contains(low, 'elecciones') AS INTEGER) AS is_political, {', '.join(f"least(100, 20 * ({' + '.join(_times(w) for w in _WORDS[a])})) / 100 AS {a}" for a in AXES)}
+FROM (SELECT *, lower(substring(coalesce(text, ''), 1, 8000)) AS low FROM labeled_news)""")
+def label_job(s, d):
+    """The labelling job with a judge that counts words: the record as it is narrowed, and the scores."""
+    from cribra.plans import pipelines
+
+    t = news(s, d, "article_id", "text", "title", "source", "category", "url", "date").repartition(s.sparkContext.defaultParallelism)
+    return pipelines.label_job(t, lambda: pipelines.KeywordJudge(_WORDS))[0]
+
+
+_SIGNS = {"biografia": ("ortizlindo",), "indice": ("claves",)}
+
+
+@query(f"""{CLEANED.replace('authors', 'NULL::VARCHAR[]')}, o AS (SELECT article_id, clean, lower(substring(clean, 1, 1500)) AS low FROM cleaned)
+SELECT article_id, CASE WHEN coalesce(length(clean), 0) < 300 THEN 'too_short_after_clean' WHEN contains(low, 'ortizlindo') THEN 'biografia' WHEN contains(low, 'claves') THEN 'indice' ELSE 'kept' END AS outcome, clean AS text FROM o""")
+def filter_job(s, d):
+    """The filter job with a judge that looks for words."""
+    from cribra.plans import pipelines
+
+    t = news(s, d, "article_id", "text").repartition(s.sparkContext.defaultParallelism)
+    return pipelines.filter_job(t, lambda: pipelines.KeywordFilter(_SIGNS)).select("article_id", "outcome", "text")
+
+
+@query(f"{CLEANED} SELECT article_id, CAST(length(clean) AS INTEGER) AS n FROM cleaned WHERE length(text) >= 400 AND length(clean) >= 400")
+def min_length_400_clean(s, d):
+    """Long enough as fetched and after cleaning."""
+    return cleaned(s, d, "article_id").where(F.length("text") >= 400).select("article_id", F.length("clean").alias("n")).where("n >= 400")
+
+
+@query(SQL["judge_parse_normalize"])
+def stream_label(s, d):
+    """Responses as a stream through the label cursor; a second run adds nothing, one under force writes all anew."""
+    return _answered(s, d, "judge_responses", responses.judge).select("article_id", "received_at", responses.normalise(F.col("p")).alias("n")).select("article_id", "received_at", "n.*")
+
+
+@query(SQL["filter_parse"])
+def stream_filter(s, d):
+    return _answered(s, d, "filter_responses", responses.verdict).select("article_id", "received_at", "p.*")
+
+
+def _answered(s, d, name, schema):
+    from cribra.streaming import incremental
+    from cribra.tables import scratch_path
+
+    good, dead, check = (scratch_path(s, f"{name}-{k}") for k in ("good", "dead", "check"))
+    for force in (False, False, True):
+        st = incremental.source(s, f"{d}/{name}.parquet", table(s, d, name).schema, "parquet").select("article_id", "received_at", "response")
+        incremental.answered(st, lambda b: responses.with_parsed(b, "response", schema), good, dead, check, force)
+    return s.read.parquet(good)
+
+
+def _written_runs(s) -> str:
+    """The runs as folders of metrics.json."""
+    from cribra.tables import scratch_path
+
+    directory = scratch_path(s, "runs")
+    m = _values(s).groupBy("encoder", "seed").agg(F.collect_list(F.struct("axis", "r2", "mse")).alias("x"))
+    m = m.join(_runs(s), ["encoder", "seed"])
+    for r in m.collect():  # runs are files of one object each
+        test = {f"test/{k}_{x['axis']}": x[k] for x in r["x"] for k in ("r2", "mse") if x[k] is not None}
+        o = {"encoder_alias": r["encoder"], "seed": r["seed"], "model_name": r["model_name"], "git_commit": r["git_commit"], "train_duration_seconds": r["train_seconds"], "best_val_loss": r["val_loss"], "test_metrics": test}
+        s.createDataFrame([(json.dumps(o),)], "value string").coalesce(1).write.mode("overwrite").text(f"{directory}/{r['encoder']}__seed{r['seed']}/metrics.json")
+    return directory
+
+
+@query(f"SELECT * FROM {_RANKED}")
+def compare_runs(s, d):
+    """Runs written as files and compared from there, as the comparison job does it."""
+    from cribra.plans import jobs
+    from cribra.tables import scratch_path
+
+    return jobs.compare(s, _written_runs(s), scratch_path(s, "comparison"))
+
+
+@query(SQL["metrics_long"])
+def metrics_csv(s, d):
+    """Long metrics through their CSV file."""
+    from cribra.sources import jsonl
+    from cribra.tables import scratch_path
+
+    path = scratch_path(s, "metrics-csv")
+    jsonl.write_metrics_csv(_values(s), path)
+    return s.read.schema("encoder string, seed int, axis string, r2 double, mse double").option("header", True).csv(path)
+
+
+@query(f"SELECT CAST(pos AS INTEGER) AS axis_pos, axis, encoder, r2_mean AS mean, r2_std AS std, CASE encoder WHEN 'enc0' THEN '#4C72B0' WHEN 'enc1' THEN '#DD8452' ELSE '#55A868' END AS color FROM {_AXES} JOIN {_POS} ON axis = ax")
+def chart_bars(s, d):
+    from cribra.plans import report
+
+    return report.bars(evaluation.axis_summary(_values(s)), "r2")
+
+
+@query("SELECT text, title, source, category, url, date, is_political, " + ", ".join(AXES) + " FROM labeled_news WHERE is_political = 1")
+def jsonl_round_trip(s, d):
+    """The labelled table through JSON lines, read strictly."""
+    from cribra.sources import jsonl
+    from cribra.tables import scratch_path
+
+    path = scratch_path(s, "jsonl")
+    jsonl.write(news(s, d, "text", "title", "source", "category", "url", "date", "is_political", *AXES), path, force=True)
+    return jsonl.read_labeled(s, path).drop("labels")
+
+
+@query("SELECT CAST(count(*) AS BIGINT) AS lines, CAST(count(*) AS BIGINT) AS solid FROM documents")
+def jsonl_lines(s, d):
+    """Every record is one line, whatever breaks its texts hold."""
+    from cribra.sources import jsonl
+    from cribra.tables import scratch_path
+
+    path = scratch_path(s, "jsonl")
+    jsonl.write(table(s, d, "documents").select("doc_id", "text"), path, force=True)
+    return s.createDataFrame([jsonl.line_counts(s, path)], "lines long, solid long")
+
+
+@query("SELECT article_id, axis, score FROM (SELECT article_id, unnest([" + ", ".join(f"{{'axis': '{a}', 'score': coalesce({a}, 0.0::DOUBLE)}}" for a in AXES[:5]) + "], recursive := true) FROM labeled_news)")
+def axis_zip(s, d):
+    """Names and a vector of scores, the longer one cut: five names, eight scores."""
+    from cribra.plans import jobs
+
+    m = jobs.named(F.array(*map(F.lit, AXES[:5])), jobs.vector())
+    return news(s, d, "article_id", *AXES).select("article_id", F.explode(m).alias("axis", "score"))
+
+
+@query()
+def train_job(s, d):
+    """A whole run on hashed words: settings tried until none is better, the best one kept, its metrics written and read."""
+    from pyspark.ml.feature import HashingTF
+
+    from cribra.plans import jobs
+    from cribra.sources import jsonl
+    from cribra.tables import scratch_path
+
+    t = news(s, d, "article_id", "is_political", "text", *AXES).join(table(s, d, "split_manifest").select("article_id", "split"), "article_id")
+    t = t.withColumn("w", F.filter(F.split(F.lower("text"), r"[^\p{L}]+"), lambda w: F.length(w) > 4))
+    f = HashingTF(inputCol="w", outputCol="features", numFeatures=64).transform(t).select("split", "is_political", "features", *AXES)
+    directory = scratch_path(s, "training-runs")
+    jobs.train(f, directory, "words", 42, regs=(0.3, 0.1))
+    return jobs.metrics_rows(jsonl.read_runs(s, directory))

@@ -7,6 +7,8 @@ swallowed: it gives no rows.
 from __future__ import annotations
 
 import random
+import threading
+import time
 import xml.etree.ElementTree as ET
 from collections.abc import Callable, Iterator
 
@@ -53,6 +55,107 @@ def sitemap_links(text: str | None) -> list[str]:
     return _items(text, "sitemap")
 
 
+def sitemap_urls(address: str, fetch: Fetch, seconds: float = 30.0, most: int = 50_000) -> list[str]:
+    """All page addresses of a sitemap and of the sitemaps that an index names, each read once; nothing after `seconds`.
+
+    most bounds how many sitemaps of an index are followed, against an index that names itself under ever new addresses.
+    """
+    end, todo, seen, out = time.monotonic() + seconds, [address], {address}, []
+    while todo:
+        left = end - time.monotonic()
+        text = within(lambda a=todo.pop(): fetch(a), left) if left > 0 else _LATE
+        if text is _LATE:
+            return []
+        links = sitemap_links(text)
+        if is_index(text):
+            new = [x for x in links if x not in seen][: most - len(seen)]
+            seen.update(new)
+            todo += new[::-1]
+        else:
+            out += links
+    return out
+
+
+def is_index(text: str | None) -> bool:
+    try:
+        return ET.fromstring(text or "").tag.rpartition("}")[2] == "sitemapindex"
+    except ET.ParseError:
+        return False
+
+
+_LATE = object()
+
+
+def within(call: Callable, seconds: float):
+    """What the call gives, or _LATE if it takes longer; its thread is left to itself. Errors pass through."""
+    got: list = []
+
+    def run() -> None:
+        try:
+            got.append((True, call()))
+        except Exception as e:  # noqa: BLE001 - raised again below
+            got.append((False, e))
+
+    t = threading.Thread(target=run, daemon=True)
+    t.start()
+    t.join(seconds)
+    if not got:
+        return _LATE
+    ok, x = got[0]
+    if ok:
+        return x
+    raise x
+
+
+class Streak:
+    """Errors in a row, and the wait that they ask for; a success ends the row."""
+
+    def __init__(self, rng: random.Random):
+        self.errors, self.rng = 0, rng
+
+    def seen(self, ok: bool) -> float:
+        self.errors = 0 if ok else self.errors + 1
+        return backoff(self.errors, self.rng)
+
+
+def fetch_pages(addresses: DataFrame, fetch: Fetch, seconds: float = 15.0, wait: Callable[[float], None] | None = None, seed: int = 1) -> DataFrame:
+    """addresses(url) -> (url, html), null where the page fails or takes too long. Between pages a task waits as its errors ask."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        streak = Streak(random.Random(seed))
+        for b in batches:
+            pages = []
+            for u in b["url"]:
+                try:
+                    page = within(lambda u=u: fetch(u), seconds)
+                except Exception:  # noqa: BLE001 - a failed page is null
+                    page = None
+                pages.append(None if page is _LATE else page)
+                pause = streak.seen(pages[-1] is not None)
+                if wait:
+                    wait(pause)
+            yield pd.DataFrame({"url": b["url"], "html": pages})
+
+    return addresses.select("url").mapInPandas(run, "url string, html string")
+
+
+def robots_table(hosts: DataFrame, fetch: Fetch, agent: str = "*") -> DataFrame:
+    """hosts(host) -> (host, disallow, allow), each host's rules read once; unreadable ones allow everything."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for h in b["host"]:
+                try:
+                    rules = robots_rules(fetch(f"https://{h}/robots.txt"), agent)
+                except Exception:  # noqa: BLE001 - unreadable allows everything
+                    rules = ([], [])
+                rows.append((h, *rules))
+            yield pd.DataFrame(rows, columns=["host", "disallow", "allow"])
+
+    return hosts.select("host").where("host <> ''").distinct().mapInPandas(run, "host string, disallow array<string>, allow array<string>")
+
+
 def discover(addresses: DataFrame, fetch: Fetch, parse: Callable[[str | None], list[str]]) -> DataFrame:
     """addresses(source, address) -> (source, url, ord), one task's addresses fetched one after another."""
 

@@ -53,7 +53,8 @@ def read_runs(spark: SparkSession, directory: str) -> DataFrame:
     from cribra.operators.evaluation import parse_run_key
 
     df = spark.read.schema(RUN_METRICS).option("multiLine", True).json(f"{directory.rstrip('/')}/*/metrics.json")
-    df = df.withColumn("run", F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/metrics\.json$", 1))
+    # the file, or a folder of that name as Spark writes it
+    df = df.withColumn("run", F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/metrics\.json(?:/[^/]*)?$", 1))
     enc, seed = parse_run_key(F.col("run"), F.col("encoder_alias"), F.col("seed"))
     return df.withColumns({"encoder": enc, "run_seed": seed})
 

@@ -10,7 +10,7 @@ from pyspark.sql.types import StructType
 
 from cribra.functions import text
 from cribra.operators import ledger
-from cribra.tables import path_exists
+from cribra.tables import delete_path, path_exists
 
 
 def source(spark: SparkSession, path: str, schema: StructType, fmt: str = "json", files: int | None = None) -> DataFrame:
@@ -59,3 +59,25 @@ def ledger_batches(stream: DataFrame, ledger_path: str, checkpoint: str, sink: C
             batch.unpersist()
 
     stream.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def answered(stream: DataFrame, parse: Callable[[DataFrame], DataFrame], good: str, dead: str, checkpoint: str, force: bool = False) -> None:
+    """stream(response, ...): every row once, parsed by parse (which adds p), to good where p isn't null, else to dead.
+
+    The checkpoint is the cursor: rows that failed aren't asked for again, but wait in dead. Each batch writes both under
+    its number, so one that is run again changes nothing. force forgets the cursor and what was written.
+    """
+    spark = stream.sparkSession
+    if force:
+        for path in (good, dead, checkpoint):
+            delete_path(spark, path)
+
+    def one(batch: DataFrame, n: int) -> None:
+        batch = parse(batch).persist()
+        try:
+            batch.where("p IS NOT NULL").drop("response").write.mode("overwrite").parquet(f"{good}/batch={n}")
+            batch.where("p IS NULL").drop("p").write.mode("overwrite").parquet(f"{dead}/batch={n}")
+        finally:
+            batch.unpersist()
+
+    stream.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()

@@ -50,6 +50,14 @@ def delete_path(spark: SparkSession, path: str) -> None:
     fs.delete(p, True)
 
 
+def move_path(spark: SparkSession, path: str, to: str) -> None:
+    fs, p = _fs(spark, path)
+    to = spark._jvm.org.apache.hadoop.fs.Path(to)
+    fs.mkdirs(to.getParent())
+    if not fs.rename(p, to):
+        raise OSError(f"{path} can't be moved to {to}")
+
+
 def clear_scratch(spark: SparkSession) -> None:
     """Deletes the intermediate tables of this process. For callers that have written or collected their results."""
     while _WRITTEN:

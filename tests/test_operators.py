@@ -76,6 +76,57 @@ def test_ledger(spark):
     assert ledger.upsert(known, df.select("url", "content_hash")).count() == 2 + 6
 
 
+def loop(rows, urls=(), hashes=()):
+    """Ids that a plain loop over rows (id, url, hash) in order accepts."""
+    u, h, out = set(urls), set(hashes), []
+    for i, a, b in rows:
+        if a is not None and a in u or b is not None and b in h:
+            continue
+        out.append(i)
+        u |= {a} - {None}
+        h |= {b} - {None}
+    return out
+
+
+@pytest.mark.parametrize("one_task", [0, 200_000])
+def test_accept_against_a_loop(spark, monkeypatch, one_task):
+    monkeypatch.setattr(ledger, "ONE_TASK", one_task)
+    schema = "i int, url string, content_hash string"
+    none = spark.createDataFrame([], "url string, content_hash string")
+    # row 2 is passed over for its url, so its hash stays open for row 3; and a chain of such rows
+    chain = [(1, "u", "h"), (2, "u", "g"), (3, "v", "g")] + [(10 + k, f"c{(k + 1) // 2}", f"d{k // 2}") for k in range(12)]
+    assert sorted(r["i"] for r in ledger.accept(spark.createDataFrame(chain, schema), none, ["i"]).collect()) == loop(chain)
+    rng = random.Random(one_task)
+    rows = [(i, rng.choice([None] + [f"u{k}" for k in range(30)]), rng.choice([None, "hot"] + [f"h{k}" for k in range(40)])) for i in range(150)]
+    known = spark.createDataFrame([("u3", None), (None, "h4")], "url string, content_hash string")
+    got = ledger.accept(spark.createDataFrame(rows, schema).withColumn("id", F.lit("x")).withColumn("key", F.lit(1)), known, ["i"])
+    assert sorted(r["i"] for r in got.collect()) == loop(rows, ["u3"], ["h4"])
+    assert ledger.accept(spark.createDataFrame([], schema), known, ["i"]).count() == 0
+    assert ledger.accept(spark.createDataFrame([(1, "a", "b")] * 3, schema), none, ["i"]).count() == 1
+
+
+def test_first_wins_keeps_one_of_ties(spark):
+    rows = [("a", 1, "x"), ("a", 1, "y"), ("a", 1, "y"), ("b", 2, None), ("b", None, "z"), (None, 1, "n"), (None, 1, "n")]
+    df = spark.createDataFrame(rows, "k string, o int, v string").withColumn("m", F.create_map(F.lit("q"), F.lit(1)))
+    for _ in range(2):
+        got = ledger.first_wins(df.repartition(3), ["k"], ["o"]).collect()
+        assert sorted(str(r["k"]) for r in got) == ["None", "None", "a", "b"] and {r["o"] for r in got if r["k"] == "b"} == {None}
+    assert len({tuple(r["v"] for r in ledger.first_wins(df.repartition(n), ["k"], ["o"]).where("k = 'a'").collect()) for n in (1, 2, 4)}) == 1
+
+
+def test_accept_limit_against_a_loop(spark):
+    rng = random.Random(2)
+    rows = [(rng.choice(["a", "a", "a", "b", None]), i, rng.random() < 0.3) for i in range(400)]
+    want, seen = set(), {}
+    for g, i, ok in rows:
+        if seen.get(g, 0) < 7:
+            want.add(i)
+            seen[g] = seen.get(g, 0) + ok
+    df = spark.createDataFrame(rows, "g string, i int, ok boolean")
+    assert {r["i"] for r in ledger.accept_limit(df, F.col("ok"), ["g"], ["i"], 7).collect()} == want
+    assert ledger.accept_limit(df, F.col("ok"), ["g"], ["i"], 0).count() == 0
+
+
 def test_scores(spark):
     df = spark.createDataFrame([(1, 1, *[0.5] * 8), (2, 1, *[None] * 8), (3, 0, *[0.9] * 8)], "id int, is_political int, " + ", ".join(f"{a} double" for a in AXES))
     assert df.select(scores.main_axis()).distinct().collect()[0][0] == AXES[0]
@@ -120,6 +171,11 @@ def test_evaluation(spark):
     assert (by["g"]["rank"], by["e"]["rank"], by["f"]["rank"]) == (1, 2, 3) and by["g"]["r2_std"] == 0 and abs(by["e"]["r2_std"] - 0.141421) < 1e-6
     w = evaluation.winners(s).first()
     assert (w["best_r2"], w["best_mse"]) == ("g", "e")
+    nan = float("nan")
+    s2 = spark.createDataFrame([("a", AXES[0], 0.5, nan), ("b", AXES[0], nan, 0.2), ("c", AXES[0], None, None), ("a", AXES[1], nan, 0.1), ("b", AXES[1], nan, nan)], "encoder string, axis string, r2_mean double, mse_mean double")
+    w = {r["axis"]: (r["best_r2"], r["best_mse"]) for r in evaluation.winners(s2).collect()}
+    assert w == {AXES[0]: ("a", "b"), AXES[1]: ("a", "a")}
+    assert {r["encoder"]: r["ranks"] for r in evaluation.mean_ranks(evaluation.ranks(s2)).collect()} == {"a": "1,1", "b": "2,2", "c": "3"}
     one = spark.createDataFrame([("a__b__seed7", None, None), ("odd", "al", 3), ("odd", None, None)], "k string, a string, s int")
     e, n = evaluation.parse_run_key(F.col("k"), F.col("a"), F.col("s"))
     assert [tuple(r) for r in one.select(e, n).collect()] == [("a__b", 7), ("al", 3), ("odd", 0)]

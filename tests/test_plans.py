@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from cribra.axes import AXES
 from cribra.operators import discovery, evaluation
-from cribra.plans import benchmark, models, pipelines, registry, report
+from cribra.plans import benchmark, jobs, models, pipelines, registry, report
 from cribra.sources import config, feeds, html, jsonl, manifest
 from cribra.streaming import incremental
 
@@ -36,6 +36,134 @@ def test_config_and_runs():
     assert len(benchmark.run_all([("a", 1), ("a", 2)], bad)) == 1 and len(benchmark.run_all([("a", 1), ("a", 2)], bad, True)) == 2
 
 
+def test_runs_keep_what_they_said(tmp_path):
+    import logging
+
+    def train(m, s):
+        for k in range(30):
+            print(f"line {k}")
+        logging.getLogger("x").warning("about to end")
+        raise ValueError("no")
+
+    out = benchmark.run_all([("a", 1)], train, logs=str(tmp_path / "logs"))
+    assert len(out[0]["tail"]) == benchmark.TAIL and out[0]["tail"][-1] == "ValueError: no"
+    said = (tmp_path / "logs" / "a__seed1.log").read_text()
+    assert "line 0" in said and "about to end" in said
+
+
+def test_yaml(tmp_path):
+    (tmp_path / "model").mkdir()
+    (tmp_path / "config.yaml").write_text("defaults:\n  - model: small\n  - _self_\n")
+    (tmp_path / "model" / "small.yaml").write_text("lr: 2e-5\nlayers: [1, 2]\nname: x\nopt:\n  warm: 0.1\n  on: true\n")
+    (tmp_path / "model" / "big.yaml").write_text("lr: 1\n")
+    root, groups = config.load(str(tmp_path))
+    assert root == {"model": "small"} and config.compose(root, groups) == {"model": {"lr": 2e-5, "layers": [1, 2], "name": "x", "opt": {"warm": 0.1, "on": True}}}
+    assert config.compose(root, groups, ["model=big", "model.lr=3"]) == {"model": {"lr": 3}}
+
+
+def test_sitemaps_and_pages(spark):
+    import random
+    import time
+
+    index = "<sitemapindex xmlns='x'><sitemap><loc>b</loc></sitemap><sitemap><loc>c</loc></sitemap><sitemap><loc>a</loc></sitemap></sitemapindex>"
+    maps = {"a": index, "b": "<urlset><url><loc>h/1</loc></url></urlset>", "c": "<urlset><url><loc>h/2</loc></url></urlset>"}
+    assert feeds.sitemap_urls("a", maps.get) == ["h/1", "h/2"] and feeds.sitemap_urls("gone", maps.get) == []
+    assert feeds.sitemap_urls("a", lambda a: time.sleep(5), seconds=0.2) == []
+    s = feeds.Streak(random.Random(1))
+    waits = [s.seen(ok) for ok in (True, False, False, True)]
+    assert s.errors == 0 and waits[2] > waits[0] and waits[2] >= 4
+
+    def fetch(u):
+        if u == "slow":
+            time.sleep(5)
+        if u == "bad":
+            raise OSError
+        return f"<p>{u}</p>"
+
+    got = feeds.fetch_pages(spark.createDataFrame([("a",), ("slow",), ("bad",), ("b",)], "url string").coalesce(1), fetch, seconds=0.3).collect()
+    assert [r["html"] for r in got] == ["<p>a</p>", None, None, "<p>b</p>"]
+    rules = feeds.robots_table(spark.createDataFrame([("h",), ("gone",), ("h",), (None,)], "host string"), lambda u: "User-agent: *\nDisallow: /p" if "//h/" in u else 1 / 0)
+    assert sorted((r["host"], r["disallow"]) for r in rules.collect()) == [("gone", []), ("h", ["/p"])]
+    df = spark.createDataFrame([(1, "https://h/p/1"), (2, "https://h/q"), (3, "https://other/p"), (4, None), (5, "https://h")], "i int, url string")
+    assert sorted(r["i"] for r in jobs.robots_allowed(df, rules).collect()) == [2, 3, 4, 5]
+
+
+def test_scrape_against_a_loop(spark):
+    import hashlib
+    import random
+
+    r = random.Random(3)
+    urls = [f"https://h/{k}" for k in range(60)]
+    cand = [(s, r.choice(urls)) for s in ("a", "b", "c", "d") for _ in range(40)] + [("a", ""), ("b", None)]
+    hashes = {u: r.choice([None] + [f"k{j}" for j in range(25)]) for u in urls}
+    known = [("https://h/3", None), (None, "k4")]
+    most = 5
+    want, us, hs = [], {u for u, _ in known if u}, {h for _, h in known if h}
+    for s in ("a", "b", "c", "d"):
+        mine = sorted({u for x, u in cand if x == s and u}, key=lambda u: (hashlib.md5(f"42:{u}".encode()).hexdigest(), u))[: 2 * most]
+        n = 0
+        for u in mine:
+            if n == most:
+                break
+            if u in us or u == "https://h/5" or hashes[u] is None or hashes[u] in hs:
+                continue
+            us.add(u)
+            hs.add(hashes[u])
+            want.append((s, u))
+            n += 1
+    df = lambda rows, c: spark.createDataFrame(rows, c)
+    got = jobs.scrape(df(cand, "source string, url string"), df(known, "url string, content_hash string"), df([("h", ["/5"], ["/50", "/51", "/52", "/53", "/54", "/55", "/56", "/57", "/58", "/59"])], "host string, disallow array<string>, allow array<string>"), df(list(hashes.items()), "url string, content_hash string"), most)
+    assert sorted((x["source"], x["url"]) for x in got.collect()) == sorted(want)
+
+
+def test_train_and_compare(spark, tmp_path):
+    import random
+
+    r = random.Random(1)
+    rows = [([x, r.random()], "train" if i % 5 else ("val" if i % 2 else "test"), int(x > 0.3), *[x] * 8) for i, x in ((i, r.random()) for i in range(120))]
+    df = models.features(spark.createDataFrame(rows, "embedding array<double>, split string, is_political int, " + ", ".join(f"{a} double" for a in AXES)))
+    out = str(tmp_path / "runs")
+    m = jobs.train(df, out, "small", 7, regs=(10.0, 0.01, 1.0))
+    assert m["model_name"] == "linear-0.01" and m["test_metrics"]["test/r2_populismo"] > 0.5 and m["test_metrics"]["test/politicity_accuracy"] > 0.7
+    jobs.train(df, out, "other", 7, regs=(10.0,), smoke=True)
+    ranked = jobs.compare(spark, out, str(tmp_path / "cmp")).where("axis = 'populismo'").orderBy("rank").collect()
+    assert [x["encoder"] for x in ranked] == ["small", "other"]
+    assert "| small |" in "\n".join(x["value"] for x in spark.read.text(str(tmp_path / "cmp" / "report.md")).collect()) and spark.read.option("header", True).csv(str(tmp_path / "cmp" / "metrics.csv")).count() == 16
+    assert models.predict(models.load(m["best_checkpoint"]), df).count() == 120
+    v = spark.createDataFrame([(["a", "b", "c"], [1.0, 2.0])], "n array<string>, v array<double>").select(jobs.named(F.col("n"), F.col("v"))).first()[0]
+    assert v == {"a": 1.0, "b": 2.0} and "+00:00" in jobs.utc_now()
+
+
+def test_answers_by_a_cursor(spark, tmp_path):
+    src, good, dead, chk = (str(tmp_path / k) for k in ("s", "g", "d", "c"))
+    parse = lambda b: b.withColumn("p", F.col("response").try_cast("int"))
+    schema = "i int, response string"
+    for k, batch in enumerate(([(1, "5"), (2, "x")], [(3, None), (4, "7")], [])):
+        if batch:
+            spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").parquet(src)
+        incremental.answered(incremental.source(spark, src, spark.createDataFrame([], schema).schema, "parquet"), parse, good, dead, chk)
+        assert (spark.read.parquet(good).count(), spark.read.parquet(dead).count()) == [(1, 1), (2, 2), (2, 2)][k]
+    incremental.answered(incremental.source(spark, src, spark.createDataFrame([], schema).schema, "parquet"), parse, good, dead, chk, force=True)
+    assert sorted(r["p"] for r in spark.read.parquet(good).collect()) == [5, 7] and {r["response"] for r in spark.read.parquet(dead).collect()} == {"x", None}
+
+
+def test_a_cluster_needs_a_shared_folder(spark):
+    from types import SimpleNamespace
+
+    import pytest
+
+    from cribra import tables
+
+    bare = SimpleNamespace(conf=SimpleNamespace(get=lambda k, d: None), sparkContext=SimpleNamespace(master="spark://h:7077"))
+    with pytest.raises(ValueError):
+        tables.shared_dir(bare)
+    t = tables.materialize(spark.range(3), "gone")
+    path = t.inputFiles()[0].rsplit("/", 1)[0]
+    assert tables.path_exists(spark, path)
+    tables.clear_scratch(spark)
+    assert not tables.path_exists(spark, path) and tables.list_names(spark, path) == []
+
+
 def test_jsonl_and_manifest(spark, tmp_path):
     p = tmp_path / "a.jsonl"
     p.write_text(json.dumps({"text": "ñ", "is_political": 1, "populismo": 0.5}) + "\n\n  \n" + json.dumps({"text": "b", "is_political": 0}) + "\n", encoding="utf-8")
