@@ -62,9 +62,9 @@ def sitemap_urls(address: str, fetch: Fetch, seconds: float = 30.0, most: int =
     """
     end, todo, seen, out = time.monotonic() + seconds, [address], {address}, []
     while todo:
-        left = end - time.monotonic()
-        text = within(lambda a=todo.pop(): fetch(a), left) if left > 0 else _LATE
-        if text is _LATE:
+        try:
+            text = within(lambda a=todo.pop(): fetch(a), end - time.monotonic())
+        except TimeoutError:
             return []
         links = sitemap_links(text)
         if is_index(text):
@@ -83,11 +83,10 @@ def is_index(text: str | None) -> bool:
         return False
 
 
-_LATE = object()
-
-
 def within(call: Callable, seconds: float):
-    """What the call gives, or _LATE if it takes longer; its thread is left to itself. Errors pass through."""
+    """What the call gives, or TimeoutError if it takes longer; its thread is left to itself. Errors pass through."""
+    if seconds <= 0:
+        raise TimeoutError
     got: list = []
 
     def run() -> None:
@@ -100,7 +99,7 @@ def within(call: Callable, seconds: float):
     t.start()
     t.join(seconds)
     if not got:
-        return _LATE
+        raise TimeoutError
     ok, x = got[0]
     if ok:
         return x
@@ -128,9 +127,9 @@ def fetch_pages(addresses: DataFrame, fetch: Fetch, seconds: float = 15.0, wait:
             for u in b["url"]:
                 try:
                     page = within(lambda u=u: fetch(u), seconds)
-                except Exception:  # noqa: BLE001 - a failed page is null
+                except Exception:  # noqa: BLE001 - a page that fails or comes too late is null
                     page = None
-                pages.append(None if page is _LATE else page)
+                pages.append(page)
                 pause = streak.seen(pages[-1] is not None)
                 if wait:
                     wait(pause)
