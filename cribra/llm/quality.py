@@ -39,7 +39,7 @@ def with_stats(df: DataFrame, text: str = "body") -> DataFrame:
         "__alnum": F.length(F.array_join("__toks", "")),
         "__digits": F.length(F.regexp_replace(F.array_join("__toks", ""), r"\D+", "")),
         "__ends": F.size(F.filter("__lines", lambda x: x.rlike(r"[.!?…:][\s»”\"')\]]*$"))),
-        "__distinct": F.size(F.array_distinct("__toks")),
+        "__distinct": F.size(F.array_distinct(F.transform("__toks", lambda x: F.xxhash64(x)))),
         "__common": F.size(F.filter("__toks", lambda x: x.isin(*COMMON))),
     })
     ratio = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(F.lit(0.0))

@@ -64,18 +64,26 @@ _EDGE = " \t\r\xa0-*•·»|…:"
 _DROP = bytes(i for i in range(128) if not chr(i).isalpha())
 
 
+#: Signs above which a line counts as long.
+LONG = 200
+
+
 def _h(kind: str, s: str) -> int:
-    return xxhash.xxh64_intdigest(kind.encode() + s.encode("utf-8", "surrogatepass").translate(None, _DROP)) - (1 << 63)
+    """Even, so that the hash of a long line's form, which is odd, tells itself from all others."""
+    return (xxhash.xxh64_intdigest(kind.encode() + s.encode("utf-8", "surrogatepass").translate(None, _DROP)) - (1 << 63)) & ~1
 
 
-def line_info(line: str) -> tuple[int, int, bool, int] | None:
-    """(form, slot, title-like, words) of a line, None for a blank one. form and slot are hashes, 0 if there is none."""
+def line_info(line: str, long_forms: bool = True) -> tuple[int, int, bool, int] | None:
+    """(form, slot, title-like, words) of a line, None for a blank one. form and slot are hashes, 0 if there is none.
+
+    Without long_forms the form of a long line is 0 as well, for sites none of whose tokens is one.
+    """
     x = line.strip(_EDGE)
     if not x:
         return None
+    if len(x) > LONG:
+        return (_h("form", x.lower().replace("\xa0", "")) | 1 if long_forms else 0, _slot_of_list(x), False, x.count(" ") + 1)
     low = x.lower()
-    if len(x) > 200:
-        return (_h("form", low.replace("\xa0", "")), _slot_of_list(x, low), False, x.count(" ") + 1)
     words = x.split()
     n = len(words)
     slot = 0
@@ -97,18 +105,18 @@ def line_info(line: str) -> tuple[int, int, bool, int] | None:
         elif n >= 4 and x.isupper() and len(words[1]) <= 3:
             slot = _h("name", words[0].lower() + " " + words[1].lower())
     if not slot and n >= 4:
-        slot = _slot_of_list(x, low)
+        slot = _slot_of_list(x)
     title = 4 <= n <= 22 and len(x) <= 150 and x[-1] not in ".;," and x[0] not in "—–«“\""
     return (_h("form", letters), slot, title, n)
 
 
-def _slot_of_list(x: str, low: str) -> int:
+def _slot_of_list(x: str) -> int:
     """Two words and then a list: a comma at least every six words, none after the second word."""
     commas = x.count(",")
     if commas < 2 or x[-1] in "?!" or commas * 6 < x.count(" ") + 1:
         return 0
-    two = low.split(None, 2)[:2]
-    return 0 if len(two) < 2 or two[1][-1:] == "," else _h("list", two[0] + " " + two[1])
+    two = x.split(None, 2)[:2]
+    return 0 if len(two) < 2 or two[1][-1:] == "," else _h("list", f"{two[0]} {two[1]}".lower())
 
 
 class Lines:
@@ -117,9 +125,9 @@ class Lines:
     def __init__(self, most: int = 200_000):
         self.most, self.known = most, {}
 
-    def __call__(self, line: str):
+    def __call__(self, line: str, long_forms: bool = True):
         if len(line) > 140:
-            return line_info(line)
+            return line_info(line, long_forms)
         if line in self.known:
             return self.known[line]
         if len(self.known) >= self.most:
@@ -217,12 +225,12 @@ def learn_tokens(pages: DataFrame) -> DataFrame:
     return materialize(both.select("site", "h", (F.coalesce("head", F.lit(False)) | F.coalesce("mostly", F.lit(False))).alias("head")), "wrappers")
 
 
-def label_lines(lines: list[str], info: Lines, tokens, heads) -> list[int | None]:
+def label_lines(lines: list[str], info: Lines, tokens, heads, long_forms: bool = True) -> list[int | None]:
     """For each line its token, LISTED for one of a listing, 0 for text, None for a blank line."""
     marks: list[int | None] = []
     listing = first = False
     for line in lines:
-        i = info(line)
+        i = info(line, long_forms)
         if i is None:
             marks.append(None)
             continue
@@ -334,10 +342,10 @@ def match(stream: list[tuple[int, int, int]], places: dict[int, dict[int, int]])
 PARTS = "kind int, article_id long, site string, furniture array<int>, body string, stream binary, zone int, piece long, place int, h long, n long"
 
 
-def _align(batches: Iterator[pd.DataFrame], sets: dict[str, tuple[frozenset, frozenset]], number: int) -> Iterator[pd.DataFrame]:
+def _align(batches: Iterator[pd.DataFrame], sets: dict[str, tuple[frozenset, frozenset, bool]], number: int) -> Iterator[pd.DataFrame]:
     """Rows of kind 0: pages without the lines that have a token; of kind 1: the expressions of these pages by site. number tells
     the parts of one site's pages from each other."""
-    info, none, held = Lines(), (frozenset(), frozenset()), 0
+    info, none, held = Lines(), (frozenset(), frozenset(), False), 0
     made: dict[tuple[str, int], Expression] = {}
     piece = number << 32
 
@@ -348,9 +356,9 @@ def _align(batches: Iterator[pd.DataFrame], sets: dict[str, tuple[frozenset, fro
     for pdf in batches:
         rows = []
         for a, site, text in zip(pdf["article_id"], pdf["site"], pdf["text"]):
-            tokens, heads = sets.get(site, none)
+            tokens, heads, long_forms = sets.get(site, none)
             lines = (text or "").split("\n")
-            marks = label_lines(lines, info, tokens, heads)
+            marks = label_lines(lines, info, tokens, heads, long_forms)
             at = [k for k, m in enumerate(marks) if m]
             z, near = zones(lines, marks)
             t = [m for m in marks if m]
@@ -388,14 +396,15 @@ def _merge(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["site", "zone", "place", "h", "n"])
 
 
-def _sets(rows) -> dict[str, tuple[frozenset, frozenset]]:
+def _sets(rows) -> dict[str, tuple[frozenset, frozenset, bool]]:
+    """By site its tokens, those that head listings, and whether a long line's form is among them."""
     out: dict[str, tuple[set, set]] = {}
     for r in rows:
         c, hd = out.setdefault(r["site"], (set(), set()))
         c.add(r["h"])
         if r["head"]:
             hd.add(r["h"])
-    return {k: (frozenset(c), frozenset(d)) for k, (c, d) in out.items()}
+    return {k: (frozenset(c), frozenset(d), any(t & 1 for t in c)) for k, (c, d) in out.items()}
 
 
 def align_pages(pages: DataFrame, tokens: DataFrame) -> tuple[DataFrame, DataFrame]:
