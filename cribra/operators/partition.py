@@ -29,7 +29,9 @@ def assign_splits(df: DataFrame, key: str, seed: int = 42, val: float = 0.15, te
     n = df.count()
     a, v, _ = split_sizes(n, val, test)
     df = df.withColumn("__h", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string"))))
-    df = exclusive_prefix(df.withColumn("__one", F.lit(1)), ["__one"], F.substring("__h", 1, 2), ["__h", key], F.lit(1), "__rank")
+    bits = min(30, max(8, (n // 50_000).bit_length()))  # buckets of some 50,000 rows at any size
+    bucket = F.shiftright(F.conv(F.substring("__h", 1, 8), 16, 10).cast("long"), 32 - bits)
+    df = exclusive_prefix(df.withColumn("__one", F.lit(1)), ["__one"], bucket, ["__h", key], F.lit(1), "__rank")
     return df.withColumn("split", F.when(F.col("__rank") < a, "train").when(F.col("__rank") < a + v, "val").otherwise("test")).drop("__h", "__one", "__rank")
 
 

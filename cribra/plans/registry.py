@@ -588,10 +588,15 @@ def html_extract(s, d):
     """Documents as pages with navigation and scripts around, and back."""
     from cribra.sources import html
 
+    return html.extract_pages(_pages(s, d)).select(F.col("url").cast("bigint").alias("doc_id"), "title", "text")
+
+
+def _pages(s, d):
+    """(url, html): the documents as pages, their ids as urls."""
     t = table(s, d, "documents").where("text IS NOT NULL").select("doc_id", "title", "text").repartition(s.sparkContext.defaultParallelism)
     esc = lambda c: F.regexp_replace(F.regexp_replace(F.regexp_replace(c, "&", "&amp;"), "<", "&lt;"), ">", "&gt;")
     page = F.concat(F.lit("<html><head><title>"), esc(F.coalesce("title", F.lit(""))), F.lit("</title><script>var a = '<p>';</script></head><body><nav><a href='/x'>Inicio</a></nav><article><p>"), F.array_join(F.split(esc(F.col("text")), "\n"), "<p>"), F.lit("</article><footer>Pie</footer></body></html>"))
-    return html.extract_pages(t.select(F.col("doc_id").cast("string").alias("url"), page.alias("html"))).select(F.col("url").cast("bigint").alias("doc_id"), "title", "text")
+    return t.select(F.col("doc_id").cast("string").alias("url"), page.alias("html"))
 
 
 @query(f"{CLEANED} SELECT article_id, clean FROM cleaned WHERE length(clean) >= 300")
@@ -691,6 +696,17 @@ def label_job(s, d):
     return pipelines.label_job(t, lambda: pipelines.KeywordJudge(_WORDS))[0]
 
 
+@query(f"""WITH page AS ({SQL['html_extract']}), c AS (SELECT doc_id, title, {_strip(_steps(_steps('text', STEPS), AFTER_AUTHORS))} AS clean FROM page WHERE length(text) >= 400)
+SELECT doc_id, title, md5(clean) AS content_hash FROM c WHERE length(clean) >= 400 QUALIFY row_number() OVER (PARTITION BY md5(clean) ORDER BY CAST(doc_id AS VARCHAR)) = 1""")
+def extract_job(s, d):
+    """Pages through the extraction job: long enough before and after cleaning, each content once."""
+    from cribra.plans import pipelines
+
+    none = s.createDataFrame([], "url string, content_hash string")
+    pages = _pages(s, d).select("url", "html", F.lit("s").alias("source"), F.lit("c").alias("category"), F.lit("2025").alias("scraped_at"))
+    return pipelines.extract_articles(pages, none).select(F.col("url").cast("bigint").alias("doc_id"), "title", "content_hash")
+
+
 _SIGNS = {"biografia": ("ortizlindo",), "indice": ("claves",)}
 
 
