@@ -60,11 +60,18 @@ class History:
         self.spark, self.path = spark, path or scratch_path(spark, "history")
         #: Buckets read by the last probe, and buckets that there were.
         self.read = (0, 0)
+        self._segments: dict[tuple[int, int, int], list[str]] | None = None
 
-    def segments(self) -> list[tuple[int, int, int]]:
-        """(level, number, buckets) of the segments that were written to their end."""
-        found = [tuple(map(int, m.groups())) for m in map(_SEGMENT.match, list_names(self.spark, self.path)) if m]
-        return [s for s in found if path_exists(self.spark, f"{self._at(s)}/_SUCCESS")]
+    def segments(self) -> dict[tuple[int, int, int], list[str]]:
+        """(level, number, buckets) of the segments that were written to their end, with the names of their buckets that hold
+        keys. Listed once by each object, which then keeps account of what it writes itself; a store has one writer."""
+        if self._segments is None:
+            found = [tuple(map(int, m.groups())) for m in map(_SEGMENT.match, list_names(self.spark, self.path)) if m]
+            self._segments = {s: self._buckets(s) for s in found if path_exists(self.spark, f"{self._at(s)}/_SUCCESS")}
+        return self._segments
+
+    def _buckets(self, s: tuple[int, int, int]) -> list[str]:
+        return [b for b in list_names(self.spark, self._accepted(s)) if b.startswith("bucket=")]
 
     def _at(self, s: tuple[int, int, int]) -> str:
         return f"{self.path}/seg-{s[0]}-{s[1]}-{s[2]}"
@@ -82,10 +89,10 @@ class History:
         # of at most MOST_BUCKETS; a segment's bucket is the last bits of that of any larger one
         asked = {r[0] for r in keys.select(_bucket(most)).distinct().collect()} if most > 1 else {0}
         paths, read = [], 0
-        for s in segments:
+        for s, held in segments.items():
             mine = {k % s[2] for k in asked}
             read += len(mine)
-            paths += [f"{self._accepted(s)}/{b}" for b in list_names(self.spark, self._accepted(s)) if b.startswith("bucket=") and int(b[7:]) in mine]
+            paths += [f"{self._accepted(s)}/{b}" for b in held if int(b[7:]) in mine]
         self.read = (read, sum(b for _, _, b in segments))
         if not paths:
             return None
@@ -106,17 +113,20 @@ class History:
         # few rows are one file a bucket from one task already
         rows = rows if n <= ONE_TASK else rows.repartition(buckets, "again", "bucket")
         rows.write.mode("overwrite").partitionBy("again", "bucket").parquet(self._at(s))
+        self.segments()[s] = self._buckets(s)
         return s
 
     def _merge(self) -> None:
         level = 0
         while len(full := [s for s in self.segments() if s[0] == level]) >= FAN:
-            at = [f"{self._accepted(s)}/{b}" for s in full for b in list_names(self.spark, self._accepted(s))]
-            rows = materialize(self.spark.read.schema(KEYS).parquet(*at).withColumn("again", F.lit(False)), "history-merge")
+            at = [f"{self._accepted(s)}/{b}" for s in full for b in self.segments()[s]]
+            rows = self.spark.read.schema(KEYS).parquet(*at) if at else self.spark.createDataFrame([], KEYS)
+            rows = materialize(rows.withColumn("again", F.lit(False)), "history-merge")
             n = rows.count()
             self._write(rows.coalesce(1) if n <= ONE_TASK else rows, n, level + 1, max(k for _, k, _ in full))
             for s in full:
                 delete_path(self.spark, self._at(s))  # until then its keys are there twice, which changes nothing
+                del self.segments()[s]
             level += 1
 
     def batch(self, df: DataFrame) -> DataFrame:

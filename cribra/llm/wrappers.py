@@ -385,15 +385,15 @@ def _align(batches: Iterator[pd.DataFrame], sets: dict[str, tuple[frozenset, fro
 
 
 def _merge(pdf: pd.DataFrame) -> pd.DataFrame:
-    """The expression of one site and zone from those of all tasks."""
+    """The expression of one site and zone from those of several tasks, numbered by way."""
     e = Expression()
     for _, part in pdf.sort_values(["piece", "place", "h"]).groupby("piece", sort=True):
         groups: dict[int, dict[int, int]] = {}
         for place, h, n in zip(part["place"].tolist(), part["h"].tolist(), part["n"].tolist()):
             groups.setdefault(place, {})[h] = n
         e.merge(list(groups.values()))
-    rows = [(pdf["site"].iloc[0], int(pdf["zone"].iloc[0]), place, t, n) for place, g in enumerate(e.groups) for t, n in g.items()]
-    return pd.DataFrame(rows, columns=["site", "zone", "place", "h", "n"])
+    rows = [(pdf["site"].iloc[0], int(pdf["zone"].iloc[0]), int(pdf["way"].iloc[0]), place, t, n) for place, g in enumerate(e.groups) for t, n in g.items()]
+    return pd.DataFrame(rows, columns=["site", "zone", "piece", "place", "h", "n"])
 
 
 def _sets(rows) -> dict[str, tuple[frozenset, frozenset, bool]]:
@@ -431,7 +431,11 @@ def align_pages(pages: DataFrame, tokens: DataFrame) -> tuple[DataFrame, DataFra
         out = left.groupBy("site", "salt").cogroup(right.groupBy("site", "salt")).applyInPandas(one, PARTS)
     out = materialize(out, "pages-aligned")
     parts = out.where("kind = 1").select("site", "zone", F.coalesce("piece", F.lit(0)).alias("piece"), "place", "h", "n")
-    whole = materialize(parts.groupBy("site", "zone").applyInPandas(_merge, "site string, zone int, place int, h long, n long"), "expressions")
+    # a thousand tasks' expressions of a site first, then those of all thousands
+    merged = "site string, zone int, piece long, place int, h long, n long"
+    parts = parts.withColumn("way", F.shiftright("piece", 42)).groupBy("site", "zone", "way").applyInPandas(_merge, merged)
+    whole = parts.withColumn("way", F.lit(0)).groupBy("site", "zone").applyInPandas(_merge, merged)
+    whole = materialize(whole.select("site", "zone", "place", "h", "n"), "expressions")
     here = whole.groupBy("site", "h").agg(F.sum("n").alias("of"))
     all_ = whole.groupBy("h", "zone").agg(F.sum("n").alias("zn"))
     every = all_.join(all_.groupBy("h").agg(F.sum("zn").alias("zof")), "h")
