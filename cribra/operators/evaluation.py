@@ -35,6 +35,11 @@ def sigmoid(x: Column) -> Column:
     return 1 / (1 + F.exp(-x))
 
 
+def activation(kind: str, x: Column) -> Column:
+    """A head's output: sigmoid, relu or linear."""
+    return {"sigmoid": sigmoid(x), "relu": F.greatest(x, F.lit(0.0)), "linear": x}[kind]
+
+
 def polygon(c: Column) -> Column:
     """An array with its first element at the end again."""
     return F.concat(c, F.slice(c, 1, 1))

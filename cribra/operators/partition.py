@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import random
+from collections.abc import Callable, Iterator
+from typing import Protocol
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,6 +38,41 @@ def assign_splits(df: DataFrame, key: str, seed: int = 42, val: float = 0.15, te
     return df.withColumn("split", F.when(F.col("__rank") < a, "train").when(F.col("__rank") < a + v, "val").otherwise("test")).drop("__h", "__one", "__rank")
 
 
+def with_ordinal(df: DataFrame, key: str, name: str = "ord", start: int = 0) -> DataFrame:
+    """Adds each row's place by a whole-number key without repeats, counted from start: what a cursor or an index over rows keeps.
+
+    Places are counted by ranges of the key, so no task gets the whole table. Null keys have no place and no row.
+    """
+    df = df.where(F.col(key).isNotNull()).withColumn("__one", F.lit(1))
+    df = exclusive_prefix(df, ["__one"], F.expr(f"floor(`{key}` / 50000)"), [key], F.lit(1), "__place")
+    return df.withColumn(name, (F.col("__place") + start).cast("long")).drop("__one", "__place")
+
+
+class Tokenizer(Protocol):
+    """Ids of a text; one instance per task."""
+
+    def __call__(self, text: str) -> list[int]: ...
+
+
+class WordLengths:
+    """A local stand-in for a tokenizer: a word's id is its length."""
+
+    def __call__(self, text: str) -> list[int]:
+        return [len(w) for w in text.split()]
+
+
+def tokenize(df: DataFrame, text: str, make: Callable[[], Tokenizer], name: str = "tokens") -> DataFrame:
+    """Adds the ids of a text column, null for null, in Arrow batches."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tok = make()
+        for b in batches:
+            yield b.assign(**{name: [None if t is None else tok(t) for t in b[text]]})
+
+    kept = [f"`{c}` {t}" for c, t in df.dtypes if c != name]
+    return df.drop(name).mapInPandas(run, ", ".join([*kept, f"`{name}` array<int>"]))
+
+
 def window_count(length: Column, content: int, stride: int) -> Column:
     """Windows over length tokens; none begins behind the last token."""
     return F.when(length <= content, 1).otherwise(F.least(F.ceil((length - content) / stride) + 1, F.ceil(length / stride))).cast("int")

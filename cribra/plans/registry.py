@@ -453,12 +453,25 @@ def chunk_split_map(s, d):
 
 @query(f"SELECT article_id, array_to_string(list_concat([101], list_transform(tok[1:126], lambda w: length(w)), [102], list_resize([]::BIGINT[], greatest(0, 126 - len(tok)), 0)), ',') AS ids, CAST(least(len(tok), 126) + 2 AS INTEGER) AS mask FROM {_TOKENS}")
 def chunk_pad_mask(s, d):
-    """Word lengths stand in for token ids, which are an interface."""
-    t = _tokens(s, d).select("article_id", F.transform(partition.first_window(F.col("tok"), 128), F.length).alias("c"))
+    """By the tokenizer interface, with word lengths standing in for token ids."""
+    t = news(s, d, "article_id", F.regexp_replace("text", r"[\s\p{Z}]+", " ").alias("text")).repartition(s.sparkContext.defaultParallelism)
+    t = partition.tokenize(t, "text", partition.WordLengths).select("article_id", partition.first_window(F.col("tokens"), 128).alias("c"))
     ids, mask = partition.wrap(F.col("c"), 128)
     return t.select("article_id", F.array_join(F.transform(ids, lambda x: x.cast("string")), ",").alias("ids"), F.aggregate(mask, F.lit(0), lambda a, x: a + x).alias("mask"))
 
 
+@query("SELECT article_id, row_number() OVER (ORDER BY article_id) - 1 AS ord FROM labeled_news")
+def row_ordinals(s, d):
+    return partition.with_ordinal(news(s, d, "article_id"), "article_id")
+
+
+@query(f"""SELECT article_id, chunk_idx, CASE WHEN rk < n - v - v THEN 'train' WHEN rk < n - v THEN 'val' ELSE 'test' END AS split FROM (SELECT article_id, chunk_idx, row_number() OVER (ORDER BY md5('42:' || article_id || '-' || chunk_idx), article_id || '-' || chunk_idx) - 1 AS rk, count(*) OVER () AS n, CAST(floor(count(*) OVER () * 0.15) AS BIGINT) AS v FROM {_CHUNKS})""")
+def chunk_split_assign(s, d):
+    """A split of chunks, each for itself: parts of one article may fall apart."""
+    c = partition.windows(_tokens(s, d), "tok", 128, 96).select("article_id", "chunk_idx", F.concat_ws("-", "article_id", "chunk_idx").alias("chunk"))
+    return partition.assign_splits(materialize(c, "chunks"), "chunk").drop("chunk")
+
+
 # ---- evaluation ----------------------------------------------------------------------------------------------------
 
 _FIRST = f"(SELECT * FROM {JUDGED} QUALIFY row_number() OVER (PARTITION BY article_id ORDER BY received_at DESC NULLS LAST, is_political, {', '.join(AXES)}) = 1)"
@@ -493,6 +506,12 @@ def politicity_softmax(s, d):
     return v.select("vec_id", yes.alias("is_political"), conf.alias("confidence"), F.bround(evaluation.sigmoid(F.col("c")) * 100, 2).alias("score"))
 
 
+@query("SELECT vec_id, round(1 / (1 + exp(-CAST(embedding[1] AS DOUBLE))), 6) AS sigmoid, round(greatest(CAST(embedding[2] AS DOUBLE), 0), 6) AS relu, round(CAST(embedding[3] AS DOUBLE), 6) AS linear FROM embeddings")
+def head_activations(s, d):
+    x = [F.col("embedding")[i].cast("double") for i in range(3)]
+    return table(s, d, "embeddings").select("vec_id", *[F.round(evaluation.activation(k, c), 6).alias(k) for k, c in zip(("sigmoid", "relu", "linear"), x)])
+
+
 _RUNS = "(SELECT e AS i, s AS seed, 'enc' || e || '__seed' || (42 + s) AS run, 'model-' || e AS model_name, CASE WHEN e = 2 AND s = 1 THEN NULL ELSE 60.0 * (10 + e * 7 + s) END AS train_seconds, CASE WHEN e = 0 AND s = 0 THEN NULL ELSE 0.1 + 0.01 * e + 0.001 * s END AS val_loss, 'c' || s AS git_commit FROM range(3) a(e), range(3) b(s) WHERE e < 2 OR s < 1 OR s = 1)"
 _VALUES = f"(SELECT 'enc' || i AS encoder, CAST(42 + seed AS INTEGER) AS seed, axis, CASE WHEN i = 1 AND pos = 3 THEN NULL WHEN i = 0 AND seed = 1 AND pos IN (5, 6) OR i = 2 AND pos = 6 THEN 'NaN'::DOUBLE ELSE ((i * 31 + seed * 7 + pos * 17) % 101) / 101.0::DOUBLE END AS r2, ((i * 13 + seed * 5 + pos * 29) % 97) / 970.0::DOUBLE AS mse FROM {_RUNS}, (VALUES {', '.join(f'({i}, {chr(39)}{a}{chr(39)})' for i, a in enumerate(AXES))}) x(pos, axis))"
 

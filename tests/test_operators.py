@@ -164,6 +164,14 @@ def test_windows(spark, length, stride):
         partition.chunks(df, "t", "other")
 
 
+def test_ordinals_and_tokens(spark):
+    keys = [-120_000, -3, 0, 7, 49_999, 50_000, 50_001, 10**12]
+    df = spark.createDataFrame([(k,) for k in reversed(keys)] + [(None,)], "k long").withColumn("ord", F.lit("clash"))
+    assert {r["k"]: r["ord"] for r in partition.with_ordinal(df, "k", start=5).collect()} == {k: i + 5 for i, k in enumerate(keys)}
+    t = partition.tokenize(spark.createDataFrame([("uno dos", 1), (None, 2), ("", 3)], "t string, tokens int"), "t", partition.WordLengths)
+    assert [r["tokens"] for r in t.collect()] == [[3, 3], None, []]
+
+
 def test_evaluation(spark):
     df = spark.createDataFrame([("e", 42, "x", 0.5, float("nan")), ("e", 43, "x", 0.7, 0.1), ("f", 42, "x", None, 0.2), ("g", 42, "x", 0.9, 0.3)], "encoder string, seed int, axis string, r2 double, mse double")
     s = evaluation.axis_summary(df.withColumn("mse", F.nanvl("mse", F.lit(None))))

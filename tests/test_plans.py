@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from cribra.axes import AXES
 from cribra.operators import discovery, evaluation
 from cribra.plans import benchmark, jobs, models, pipelines, registry, report
-from cribra.sources import config, feeds, html, jsonl, manifest
+from cribra.sources import config, dimensions, feeds, html, jsonl, manifest
 from cribra.streaming import incremental
 
 
@@ -61,6 +61,23 @@ def test_yaml(tmp_path):
     assert config.compose(root, groups, ["model=big", "model.lr=3"]) == {"model": {"lr": 3}}
 
 
+def test_dimensions(spark, tmp_path):
+    import pytest
+
+    (tmp_path / "sources.yaml").write_text("uno:\n  url: https://u\n  category: c\n  mode: direct\n  rss_feeds: [https://u/rss]\ndos: {url: https://d, mode: sitemap, url_filters: [/p/]}\n")
+    rows = {r["name"]: r for r in dimensions.catalogue(spark, str(tmp_path / "sources.yaml")).collect()}
+    assert rows["uno"]["rss_feeds"] == ["https://u/rss"] and rows["dos"]["url_filters"] == ["/p/"] and rows["dos"]["category"] is None and rows["dos"]["rss_feeds"] == []
+    (tmp_path / "enc.json").write_text('{"a": "m/a", "b": "m/b"}')
+    assert dimensions.encoders(str(tmp_path / "enc.json"), skip=["a"]) == {"b": "m/b"}
+    with pytest.raises(KeyError):
+        dimensions.encoders(str(tmp_path / "enc.json"), only=["z"])
+    (tmp_path / "book.json").write_text(json.dumps({"axes": {a: {"definition": f"def {a}", "markers": ["m"]} for a in AXES}, "rules": ["r"]}))
+    assert "def populismo" in pipelines.system_prompt(*dimensions.codebook(str(tmp_path / "book.json")))
+    (tmp_path / "bad.json").write_text("{}")
+    with pytest.raises(ValueError):
+        dimensions.codebook(str(tmp_path / "bad.json"))
+
+
 def test_sitemaps_and_pages(spark):
     import random
     import time
