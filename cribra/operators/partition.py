@@ -6,7 +6,7 @@ import random
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -64,13 +64,14 @@ class WordLengths:
 def tokenize(df: DataFrame, text: str, make: Callable[[], Tokenizer], name: str = "tokens") -> DataFrame:
     """Adds the ids of a text column, null for null, in Arrow batches."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = make()
         for b in batches:
-            yield b.assign(**{name: [None if t is None else tok(t) for t in b[text]]})
+            ids = pa.array([None if t is None else tok(t) for t in b.column(text).to_pylist()], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([*b.columns, ids], [*b.schema.names, name])
 
     kept = [f"`{c}` {t}" for c, t in df.dtypes if c != name]
-    return df.drop(name).mapInPandas(run, ", ".join([*kept, f"`{name}` array<int>"]))
+    return df.drop(name).mapInArrow(run, ", ".join([*kept, f"`{name}` array<int>"]))
 
 
 def window_count(length: Column, content: int, stride: int) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,12 +26,13 @@ def ask(df: DataFrame, column: str, make_judge: Callable[[], Judge], name: str =
     """Adds a judge's answers. Answers are costly and may differ when asked again, so they are written once."""
     schema = df.drop(name).schema.add(name, "string")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         judge = make_judge()
         for b in batches:
-            yield b.assign(**{name: judge([t or "" for t in b[column]])})
+            said = pa.array(judge([t or "" for t in b.column(column).to_pylist()]), pa.string())
+            yield pa.RecordBatch.from_arrays([*b.columns, said], [*b.schema.names, name])
 
-    return materialize(df.mapInPandas(run, schema), "answers")
+    return materialize(df.drop(name).mapInArrow(run, schema), "answers")
 
 
 class KeywordJudge:

@@ -74,6 +74,24 @@ def materialize(df: DataFrame, label: str, partitions: int | None = None) -> Dat
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Stands for a missing whole number on the way through pandas, which would turn a column with nulls, and the numbers beside
+#: them, into floats.
+NO_NUMBER = -(1 << 63)
+
+
+def filled(c: str):
+    """A long column with NO_NUMBER for null; see emptied."""
+    from pyspark.sql import functions as F
+
+    return F.coalesce(F.col(c).cast("long"), F.lit(NO_NUMBER)).alias(c)
+
+
+def emptied(c: str):
+    from pyspark.sql import functions as F
+
+    return F.nullif(F.col(c), F.lit(NO_NUMBER)).alias(c)
+
+
 def table_bytes(df: DataFrame) -> int:
     """The optimizer's size estimate, from file sizes for a table just read."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
