@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from cribra.llm.addresses import content_key, instant, with_page
 from cribra.operators.ledger import ONE_TASK, later_repeats
-from cribra.tables import broadcast_if_small, delete_path, list_names, materialize, move_path, path_exists, scratch_path
+from cribra.tables import broadcast_if_small, delete_path, emptied, filled, list_names, materialize, move_path, path_exists, scratch_path
 
 #: Minwise values in a band.
 ROWS_PER_BAND = 4
@@ -45,7 +45,7 @@ def record_keys(df: DataFrame) -> DataFrame:
     A record whose time can't be read comes last. Null or blank urls, and hashes that say nothing, are no keys.
     """
     at = F.unix_micros(F.coalesce(instant(F.col("scraped_at")), F.lit("9999-01-01").cast("timestamp")))  # as a number, for any year
-    df = df.select(F.col("scrape_id").alias("id"), at.alias("at"), "url", content_key(F.col("content_hash")).alias("content"))
+    df = df.select(filled("scrape_id").alias("id"), at.alias("at"), "url", content_key(F.col("content_hash")).alias("content"))
     both = F.array(F.struct(F.lit(0).alias("kind"), F.col("page").alias("key")), F.struct(F.lit(1).alias("kind"), F.col("content").alias("key")))
     df = with_page(df, F.col("url"), "page").select("id", "at", F.explode(both).alias("k")).where("k.key IS NOT NULL")
     tokens = F.when(F.col("k.kind") == 0, F.split("k.key", r"[/?&=-]")).otherwise(F.array("k.key"))
@@ -214,4 +214,4 @@ def repeats(df: DataFrame, path: str | None = None) -> DataFrame:
     history, out = History(spark, path), scratch_path(spark, "repeats")
     for day in sorted(size):
         history.batch_keys(spark.read.schema(schema).parquet(f"{keyed}/day={day}"), size[day], f"{out}/{day}")
-    return _ids(spark, out).select(F.col("id").alias("scrape_id"))
+    return _ids(spark, out).select(emptied("id").alias("scrape_id"))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from cribra.llm.tokens import DEFAULT_VOCABULARY, Tokens
 from cribra.operators.prefix import exclusive_prefix
-from cribra.tables import materialize
+from cribra.tables import emptied, filled, materialize
 
 #: Tokens in a block, the unit of the schedule.
 BLOCK = 4096
@@ -26,7 +26,8 @@ def token_counts(docs: DataFrame, vocabulary: str = DEFAULT_VOCABULARY) -> DataF
         for pdf in batches:
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "source": pdf["source"], "tokens": [tok.count(t) for t in pdf["text"]]})
 
-    return docs.select("doc_id", "source", "text").mapInPandas(run, "doc_id long, source string, tokens long").where("tokens > 0")
+    out = docs.select(filled("doc_id"), "source", "text").mapInPandas(run, "doc_id long, source string, tokens long").where("tokens > 0")
+    return out.withColumn("doc_id", emptied("doc_id"))
 
 
 def budgets(counts: DataFrame, targets: DataFrame, total: float | None = None) -> list[tuple[str, float, int, int, float]]:

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cribra.llm.tokens import DEFAULT_VOCABULARY, Tokens
-from cribra.tables import broadcast_if_small, materialize
+from cribra.tables import broadcast_if_small, emptied, filled, materialize
 
 CAPACITY = 512
 #: Items in a shard.
@@ -39,7 +39,7 @@ _TERM = re.compile(r"[^\W\d_]+")
 
 
 def items(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = DEFAULT_VOCABULARY) -> DataFrame:
-    """docs(doc_id, text) -> (doc_id, part, start, n_chars, tokens, terms, times): parts of at most capacity tokens.
+    """docs(doc_id, text) -> (doc_id, part, start, n_chars, tokens, terms, times): parts of at most capacity tokens, doc_id filled.
 
     Only documents above the capacity have several parts. terms: hashes of the part's words, times: how often each stands
     there, both as 32-bit ints. Null and empty texts have no tokens and no item.
@@ -66,7 +66,7 @@ def items(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = DEFAULT_V
                     out.append((d, part, i, j - i, k, np.fromiter(terms.keys(), np.int32, len(terms)).tobytes(), np.fromiter(terms.values(), np.int32, len(terms)).tobytes()))
             yield pd.DataFrame(out, columns=["doc_id", "part", "start", "n_chars", "tokens", "terms", "times"])
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, part int, start int, n_chars int, tokens int, terms binary, times binary")
+    return docs.select(filled("doc_id"), "text").mapInPandas(run, "doc_id long, part int, start int, n_chars int, tokens int, terms binary, times binary")
 
 
 def _holders(rest: DataFrame) -> np.ndarray:
@@ -243,7 +243,8 @@ def packed(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = DEFAULT_
     rest = _sharded(it.where(F.col("tokens") < capacity))
     out = rest.groupBy("shard", "piece").applyInPandas(lambda p: _pack(p, capacity, measure), "doc_id long, part int, start int, n_chars int, tokens int, shard int, piece int, box int, shared double, other double")
     nan = lambda c: F.when(~F.isnan(c), F.col(c)).alias(c)
-    return full.union(out.select("doc_id", "part", "start", "n_chars", "tokens", F.concat_ws("-", F.lit("s"), "shard", "piece", "box").alias("container"), nan("shared"), nan("other")))
+    both = full.union(out.select("doc_id", "part", "start", "n_chars", "tokens", F.concat_ws("-", F.lit("s"), "shard", "piece", "box").alias("container"), nan("shared"), nan("other")))
+    return both.withColumn("doc_id", emptied("doc_id"))
 
 
 def report(rows: DataFrame, capacity: int = CAPACITY) -> DataFrame:

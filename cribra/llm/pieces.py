@@ -11,6 +11,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from cribra.tables import emptied, filled
+
 LIMIT = 3000
 OVERLAP = 300
 #: Sentences in a block on either side of a possible cut.
@@ -133,4 +135,5 @@ def pieces(docs: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP) -> DataF
                     rows.append((a, k, i, j - i, t[i:j]))
             yield pd.DataFrame(rows, columns=["article_id", "piece", "start", "n_chars", "text"])
 
-    return docs.select("article_id", "text").mapInPandas(run, "article_id long, piece int, start int, n_chars int, text string")
+    out = docs.select(filled("article_id"), "text").mapInPandas(run, "article_id long, piece int, start int, n_chars int, text string")
+    return out.withColumn("article_id", emptied("article_id"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from cribra.llm.persons import fold, persons
 from cribra.operators.components import connected_components
-from cribra.tables import delete_path, list_names, materialize, path_exists, scratch_path
+from cribra.tables import delete_path, emptied, filled, list_names, materialize, path_exists, scratch_path
 
 SHARES = {"train": 0.70, "val": 0.15, "test": 0.15}
 #: Components that hold at least this share of all records are placed one by one, so there are at most 1 / LARGE.
@@ -43,7 +43,8 @@ def record_nodes(news: DataFrame, outlets: tuple[str, ...]) -> DataFrame:
                 nodes.append(list(dict.fromkeys(n)) or [f"a:{a}"])
             yield pd.DataFrame({"article_id": pdf["article_id"], "nodes": nodes})
 
-    return news.select("article_id", "source", "authors").mapInPandas(run, "article_id long, nodes array<string>")
+    out = news.select(filled("article_id"), "source", "authors").mapInPandas(run, "article_id long, nodes array<string>")
+    return out.withColumn("article_id", emptied("article_id"))
 
 
 def links(nodes: DataFrame) -> DataFrame:

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cribra.tables import broadcast_if_small, materialize
+from cribra.tables import broadcast_if_small, emptied, filled, materialize
 
 ORDERS = (2, 4, 8, 16)
 #: Bits of the bitmap a final context, and its least and largest number of bits in all, as powers of two.
@@ -210,8 +210,8 @@ def final_contexts(docs: DataFrame) -> DataFrame:
 
     language = F.lower(F.regexp_extract(F.coalesce("lang", F.lit("")), r"^[A-Za-z]{2}(?=$|[-_])", 0))
     solid = F.expr("trim(TRAILING ' \n\r\t' || char(160) FROM text)")
-    rows = docs.where("text IS NOT NULL").select("doc_id", F.when(language != "", language).otherwise("und").alias("language"), F.xxhash64(solid).alias("same"), solid.alias("text"))
-    return rows.where(r"text RLIKE '\\S'").mapInPandas(run, "doc_id long, language string, same long, mark boolean, " + ", ".join(f"c{k} long" for k in ORDERS))
+    rows = docs.where("text IS NOT NULL").select(filled("doc_id"), F.when(language != "", language).otherwise("und").alias("language"), F.xxhash64(solid).alias("same"), solid.alias("text"))
+    return rows.where(r"text RLIKE '\\S'").mapInPandas(run, "doc_id long, language string, same long, mark boolean, " + ", ".join(f"c{k} long" for k in ORDERS)).withColumn("doc_id", emptied("doc_id"))
 
 
 def _mark(at_end: re.Pattern, t: str) -> int | None:

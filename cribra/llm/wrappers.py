@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cribra.tables import broadcast_if_small, materialize, table_bytes
+from cribra.tables import broadcast_if_small, emptied, filled, materialize, table_bytes
 
 MIN_PAGES = 5
 MIN_SHARE = 0.03
@@ -416,12 +416,12 @@ def align_pages(pages: DataFrame, tokens: DataFrame) -> tuple[DataFrame, DataFra
     spark = pages.sparkSession
     if table_bytes(tokens) <= SEND_BYTES:
         sent = spark.sparkContext.broadcast(_sets(tokens.toLocalIterator()))
-        out = pages.select("article_id", "site", "text").mapInPandas(lambda b: _align(b, sent.value, TaskContext.get().partitionId()), PARTS)
+        out = pages.select(filled("article_id"), "site", "text").mapInPandas(lambda b: _align(b, sent.value, TaskContext.get().partitionId()), PARTS)
     else:
         # a site's pages meet its tokens by (site, salt); a large site has as many salts as it needs
         size = pages.groupBy("site").agg(F.ceil(F.count("*") / SITE_PAGES).cast("int").alias("salts"))
         size = broadcast_if_small(materialize(size, "site-sizes"))
-        left = pages.select("article_id", "site", "text").join(size, "site").withColumn("salt", F.pmod(F.xxhash64("article_id"), F.col("salts")).cast("int"))
+        left = pages.select(filled("article_id"), "site", "text").join(size, "site").withColumn("salt", F.pmod(F.xxhash64("article_id"), F.col("salts")).cast("int"))
         right = tokens.join(size.select(F.col("site").alias("site_"), F.col("salts").alias("ways")), F.col("site") == F.col("site_")).select("site", "h", "head", F.explode(F.sequence(F.lit(0), F.col("ways") - 1)).alias("salt"))
 
         def one(p: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
@@ -442,13 +442,14 @@ def align_pages(pages: DataFrame, tokens: DataFrame) -> tuple[DataFrame, DataFra
     kept = whole.join(here, ["site", "h"]).join(every, ["h", "zone"]).where(
         (F.col("n") >= F.greatest(F.lit(PLACE_PAGES), PLACE_SHARE * F.col("of"))) | (F.col("zn") >= F.greatest(F.lit(MIN_PAGES), PLACE_SHARE * F.col("zof")))
     )
-    return out.where("kind = 0").select("article_id", "site", "furniture", "body", "stream"), materialize(kept.select("site", "zone", "place", "h", "n"), "expressions")
+    return out.where("kind = 0").select(emptied("article_id"), "site", "furniture", "body", "stream"), materialize(kept.select("site", "zone", "place", "h", "n"), "expressions")
 
 
 def split_body(news: DataFrame, tokens: DataFrame) -> DataFrame:
     """news(article_id, site, text, ...) -> (article_id, furniture array<int>, body string).
 
-    furniture: numbers of the non-blank lines that the wrapper takes. body: the other lines, joined by line breaks.
+    furniture: numbers of the non-blank lines that the wrapper takes. body: the other lines, joined by line breaks. Rows of one
+    id are taken for one page. A page without an id is parted by its tokens alone.
     """
     aligned, expr = align_pages(news, tokens)
     per = expr.groupBy("site").agg(F.collect_list(F.struct("zone", "place", "h")).alias("e"))
@@ -469,7 +470,7 @@ def split_body(news: DataFrame, tokens: DataFrame) -> DataFrame:
 
     small = table_bytes(expr) <= SEND_BYTES
     sent = news.sparkSession.sparkContext.broadcast({r["site"]: _places(r["e"]) for r in per.toLocalIterator()}) if small else None
-    streams = aligned.select("article_id", "site", "furniture", "stream")
+    streams = aligned.where("article_id IS NOT NULL").select("article_id", "site", "furniture", "stream")
     streams = streams if small else streams.join(per, "site", "left")
     back = streams.mapInPandas(run, "article_id long, __kept array<int>").groupBy("article_id").agg(F.first("__kept").alias("__kept"))
     back = broadcast_if_small(materialize(back, "out-of-place"))
