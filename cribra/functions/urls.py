@@ -21,8 +21,14 @@ def is_noise(url: Column, sections=NOISE_SECTIONS) -> Column:
 
 
 def passes_filters(url: Column, filters: Column) -> Column:
-    """Some filter stands in the url, whatever their case; no filters let everything pass."""
-    return (F.coalesce(F.size(filters), F.lit(0)) <= 0) | F.coalesce(F.exists(filters, lambda f: F.contains(F.lower(url), F.lower(f))), F.lit(False))
+    """Some filter stands in the url, whatever their case; no filters let everything pass.
+
+    The url goes through the loop as its state, as a lambda may not name a column here: in a session's first query the
+    optimizer takes a column of id 1 for the lambda's own variable, and pushes the filter to the side of a join without it.
+    """
+    step = lambda a, f: F.struct(a["u"].alias("u"), (a["ok"] | F.coalesce(F.contains(a["u"], F.lower(f)), F.lit(False))).alias("ok"))
+    some = F.aggregate(filters, F.struct(F.lower(url).alias("u"), F.lit(False).alias("ok")), step, lambda a: a["ok"])
+    return (F.coalesce(F.size(filters), F.lit(0)) <= 0) | F.coalesce(some, F.lit(False))
 
 
 def url_host(url: Column) -> Column:

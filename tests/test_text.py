@@ -1,12 +1,19 @@
 """The cleaner against independent expectations in Python's re."""
 
+import os
 import re
+import subprocess
+import sys
 
+import duckdb
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 from cribra.functions import text, urls
 from cribra.functions.patterns import STEPS, spell
+from cribra.plans import registry
 
 CASES = [
     ("C0", "Menú\nNoticia \nCuerpo", "Cuerpo"),
@@ -87,3 +94,20 @@ def test_filters_and_robots(spark):
 def test_dialects():
     assert spell(r"[\w.]+\s", "m", "java") == r"(?dUm)[\p{L}\p{N}_.]+[\s\x1c-\x1f]"
     assert spell(r"\d", "i", "re2") == r"(?i)[\p{Nd}]"
+
+
+def test_allowlist_as_a_sessions_first_query(tmp_path):
+    rows = [(1, "https://h/P/x", "a"), (2, "https://h/q", "a"), (3, "https://h/q", "b"), (4, None, "a"), (5, "https://h/q", "c"), (6, "https://h/q", "d"), (7, "https://h/q", "e"), (8, "https://h/p/", "f"), (9, "https://h/p/", None)]
+    cat = [("a", "sitemap", ["/p/"]), ("b", "direct", ["/p/"]), ("c", "sitemap", []), ("d", "sitemap", None), ("e", "sitemap", ["/z/", None, "/Q"]), ("f", None, [None])]
+    pq.write_table(pa.table(dict(zip(("scrape_id", "url", "source"), map(list, zip(*rows)))), pa.schema([("scrape_id", pa.int64()), ("url", pa.string()), ("source", pa.string())])), tmp_path / "scraped_urls.parquet")
+    pq.write_table(pa.table(dict(zip(("name", "mode", "url_filters"), map(list, zip(*cat)))), pa.schema([("name", pa.string()), ("mode", pa.string()), ("url_filters", pa.list_(pa.string()))])), tmp_path / "sources.parquet")
+    code = f"""from pyspark.sql import SparkSession
+import __spark_entry__ as e
+s = SparkSession.builder.master("local[1]").config("spark.ui.enabled", "false").getOrCreate()
+print("ids", sorted(r["scrape_id"] for r in e.queries()["url_allowlist"](s, {str(tmp_path)!r}).collect()))"""
+    said = subprocess.run([sys.executable, "-c", code], cwd=os.path.dirname(os.path.dirname(os.path.abspath(__file__))), capture_output=True, text=True, timeout=300)
+    con = duckdb.connect()
+    for t in ("scraped_urls", "sources"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet'")
+    want = sorted(x[0] for x in con.execute(registry.oracle_sql()["url_allowlist"]).fetchall())
+    assert f"ids {want}" in said.stdout.splitlines() and 2 < len(want) < len(rows), said.stderr[-2000:]
