@@ -154,3 +154,15 @@ def test_blocks(spark):
     rows = [(i, "Aviso legal\nComparte\n" + f"cuerpo {chr(97 + i)}\nPie", "a") for i in range(20)]
     got = standing_lines.blocks(spark.createDataFrame(rows, "article_id long, text string, source string")).collect()
     assert sorted((r["forms"], r["lines"], r["docs"]) for r in got) == [(1, 20, 20), (2, 40, 20)]
+
+
+def test_a_filter_on_no_prose_tokenises_once(spark):
+    df = quality.flag_no_prose(spark.createDataFrame([("Una frase.",), ("",), (None,)], "body string"))
+    for f in ("NOT no_prose", "no_prose"):
+        assert df.where(f).select("body")._jdf.queryExecution().optimizedPlan().toString().count("split(lower(") == 1
+
+
+def test_ends_of_lines(spark):
+    lines = ["Fin.", "Fin", "a.b", "«Fin.»", "Fin.)  ", "Fin.\r", "a Fin.", "Fin. ", "Fin. b", "a.\rb", "Fin.\x85", ".", "Fin…\"']", "..a", "Fin.\xa0"]
+    old = spark.createDataFrame([(x,) for x in lines], "body string").select("body", F.col("body").rlike(r"[.!?…:][\s»”\"')\]]*$").alias("ends"))
+    assert [(r["body"], r["end_punct_share"] == 1) for r in quality.with_stats(old).collect()] == [(r["body"], r["ends"]) for r in old.collect()]
