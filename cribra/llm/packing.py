@@ -12,6 +12,7 @@ from __future__ import annotations
 import re
 import zlib
 from bisect import bisect_right
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,6 +39,17 @@ K1, B = 1.2, 0.75
 _TERM = re.compile(r"[^\W\d_]+")
 
 
+class _Terms(dict):
+    """Hashes of the terms in a text without blanks, kept for texts seen; bounded. A blank is no part of a term and of no
+    letter's lower case."""
+
+    def __missing__(self, text: str) -> tuple[int, ...]:
+        if len(self) > 500_000:
+            self.clear()
+        self[text] = r = tuple(zlib.crc32(w.encode()) & 0x7FFFFFFF for w in _TERM.findall(text.lower()))
+        return r
+
+
 def items(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = DEFAULT_VOCABULARY) -> DataFrame:
     """docs(doc_id, text) -> (doc_id, part, start, n_chars, tokens, terms, times): parts of at most capacity tokens, doc_id filled.
 
@@ -46,23 +58,16 @@ def items(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = DEFAULT_V
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tok, ids = Tokens(vocabulary), {}
+        tok, ids = Tokens(vocabulary), _Terms()
         for pdf in batches:
             out = []
             for d, text in zip(pdf["doc_id"], pdf["text"]):
-                if not text:
-                    continue
-                n = tok.count(text)
-                for part, (i, j, k) in enumerate([(0, len(text), n)] if n <= capacity else tok.spans(text, capacity)):
+                for part, (i, j, k) in enumerate(tok.spans(text, capacity) if text else ()):
                     terms: dict[int, int] = {}
                     if k < capacity:  # a full part needs no neighbours
-                        for w in _TERM.findall(text[i:j].lower()):
-                            h = ids.get(w)
-                            if h is None:
-                                if len(ids) > 500_000:
-                                    ids.clear()
-                                ids[w] = h = zlib.crc32(w.encode()) & 0x7FFFFFFF
-                            terms[h] = terms.get(h, 0) + 1
+                        for w, n in Counter(text[i:j].split(" ")).items():
+                            for h in ids[w]:
+                                terms[h] = terms.get(h, 0) + n
                     out.append((d, part, i, j - i, k, np.fromiter(terms.keys(), np.int32, len(terms)).tobytes(), np.fromiter(terms.values(), np.int32, len(terms)).tobytes()))
             yield pd.DataFrame(out, columns=["doc_id", "part", "start", "n_chars", "tokens", "terms", "times"])
 

@@ -37,6 +37,30 @@ def test_spans_cover(tok, most):
         assert "".join(t[a:b] for a, b, _ in spans) == t and (most < 3 or all(n <= most for *_, n in spans))
 
 
+def test_spans_encode_only_words_in_which_a_part_ends(tok, monkeypatch):
+    r, encoded = random.Random(4), []
+    encode = tok.encode
+    texts = [" ".join(r.choice(["palabra", "ñandú", "🙂🙂", "el", "censo", "1.234,5", "x" * 40, "ya\nno", "ΑΣ"]) for _ in range(600)) for _ in range(20)]
+    monkeypatch.setattr(tok, "encode", lambda t: encoded.append(t) or encode(t))
+    for t in texts:
+        ids, want = encode(t), []
+        while ids:  # the most tokens that end at a code point
+            raw = [tok.bpe.decode_bytes(ids[:k]) for k in range(1, 51)]
+            k = max(k for k in range(1, 51) if raw[k - 1].decode("utf-8", "replace").encode() == raw[k - 1])
+            want.append(tok.bpe.decode(ids[:k]))
+            ids = ids[k:]
+        encoded.clear()
+        assert [t[a:b] for a, b, _ in tok.spans(t, 50)] == want
+        assert sum(map(len, encoded)) < 0.5 * len(t)
+
+
+def test_terms_of_an_item_by_its_words_between_blanks(spark):
+    texts = ["uno Dos uno-dos, 3 tres_uno", " ΑΣ ΑΣ. Ασ ", "a\nb  a\tb İ i̇", "7 8 9"]
+    got = packing.items(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    plain = [Counter(packing.zlib.crc32(w.encode()) & 0x7FFFFFFF for w in packing._TERM.findall(t.lower())) for t in texts]
+    assert {r["doc_id"]: dict(zip(np.frombuffer(r["terms"], np.int32).tolist(), np.frombuffer(r["times"], np.int32).tolist())) for r in got} == dict(enumerate(plain))
+
+
 def test_packing(spark, tok):
     r = random.Random(1)
     words = [w * 2 for w in ("puerto", "riego", "mercado", "camino", "censo", "archivo")]
