@@ -150,6 +150,16 @@ def test_line_info_takes_anything(line):
     wrappers.line_info(line)
 
 
+def test_forms_of_lines_hold_their_letters(monkeypatch):
+    lines = ["¿Qué dijo la niña? «Nada»", "a_b ½ 7² ٣ x", "Uno — dos…", "e\u0301l \u2028 \x85 y", "12 de enero de 2024", "汉字 ΑΣ İ"]
+    for x in lines:
+        low = x.strip(wrappers._EDGE).lower()
+        letters = wrappers._NON_LETTER.sub("", wrappers._MONTH.sub("", low))
+        assert wrappers.line_info(x)[0] == wrappers._h("form", letters)
+    monkeypatch.setattr(wrappers, "_NON_LETTER", None)  # letters alone need no search for others
+    assert wrappers.line_info("La niña comió, y 7 más.")[0] == wrappers._h("form", "laniñacomióymás")
+
+
 def test_blocks(spark):
     rows = [(i, "Aviso legal\nComparte\n" + f"cuerpo {chr(97 + i)}\nPie", "a") for i in range(20)]
     got = standing_lines.blocks(spark.createDataFrame(rows, "article_id long, text string, source string")).collect()
